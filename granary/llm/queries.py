@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import near_dups, packing, quality, token_files, transducer
+from granary.llm import licences, line_dedup, multiset_hash, near_dups, packing, quality, sql, token_files, transducer
 from granary.llm.common import table
 
 
@@ -21,33 +21,6 @@ def op1_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
-OP1_SQL = """
-WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS ws
-  FROM documents
-), s AS (
-  SELECT doc_id, CASE WHEN len(ws) = 1 THEN ws ELSE list_distinct(list_transform(range(1, len(ws)), i -> ws[i] || ' ' || ws[i + 1])) END AS sh
-  FROM w
-), e AS (
-  SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s
-), links AS (
-  SELECT a.doc_id AS a, b.doc_id AS b
-  FROM e a JOIN e b ON a.g = b.g
-  GROUP BY a.doc_id, b.doc_id, a.n, b.n
-  HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
-), reach AS (
-  SELECT a, b FROM links
-  UNION
-  SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
-), c AS (
-  SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
-)
-SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, coalesce(component_id, s.doc_id) AS component_id,
-       coalesce(component_id, s.doc_id) = s.doc_id AS kept
-FROM s LEFT JOIN c USING (doc_id)
-"""
-
-
 def op2_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"))
 
@@ -56,10 +29,22 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op4_winnowing_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
+def op6_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_hash.with_edits(table(spark, sf_dir, "documents"))
+
+
+def op8_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digest(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -68,8 +53,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dups": op1_minhash_near_dups,
     "op2_compression_bands": op2_compression_bands,
     "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op4_winnowing_line_dedup": op4_winnowing_line_dedup,
     "op5_nnls_packing": op5_nnls_packing,
+    "op6_multiset_hash": op6_multiset_hash,
+    "op8_licence_sentences": op8_licence_sentences,
     "op10_token_files": op10_token_files,
 }
 
-ORACLES: dict[str, str] = {"op1_minhash_near_dups": OP1_SQL}
+ORACLES: dict[str, str] = {
+    "op1_minhash_near_dups": sql.NEAR_DUPLICATES,
+    "op4_winnowing_line_dedup": sql.line_dedup_sql(),
+    "op6_multiset_hash": sql.multiset_hash_sql(),
+    "op8_licence_sentences": sql.licence_sql(),
+}

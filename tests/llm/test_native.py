@@ -1,0 +1,147 @@
+"""Operators 4, 6 and 8 against plain Python on hand-made texts."""
+
+import hashlib
+import random
+
+from granary.llm import licences, line_dedup, multiset_hash
+from granary.llm.common import below
+from pyspark.sql import functions as F
+
+WS = " \t\n\x0b\x0c\r"
+
+
+def n_words(line):
+    return len("".join(" " if c in WS else c for c in line).split(" ")) - "".join(" " if c in WS else c for c in line).split(" ").count("")
+
+
+def brute_dedup(texts, least):
+    """texts: [(id, text)] in order; returns the texts left, deleted lines."""
+    seen, out = set(), []
+    windows = []
+    for d, (_, text) in enumerate(texts):
+        if text is None:
+            continue
+        lines = [(i, x, n_words(x)) for i, x in enumerate(text.split("\n")) if n_words(x)]
+        for s in range(len(lines)):
+            total, e = 0, s
+            while e < len(lines) and total < least:
+                total += lines[e][2]
+                e += 1
+            if total >= least:
+                windows.append((d, lines[s][0], lines[e - 1][0], tuple(x[1] for x in lines[s:e])))
+    gone = {}
+    for d, a, b, content in windows:
+        if content in seen:
+            gone.setdefault(d, set()).update(range(a, b + 1))
+        seen.add(content)
+    for d, (_, text) in enumerate(texts):
+        out.append(None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone.get(d, ())))
+    return out, [len(gone.get(d, ())) for d in range(len(texts))]
+
+
+def test_line_dedup(spark):
+    rng = random.Random(4)
+    lines = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(1, 9))) for _ in range(25)]
+    texts = []
+    for i in range(60):
+        own = [rng.choice(lines) for _ in range(rng.randint(0, 14))]
+        if i % 3 == 0:
+            at = rng.randrange(20)
+            own += ["", *lines[at : at + 6], " \t", *lines[at : at + 3]]
+        texts.append((i * 2, "\n".join(own)))
+    texts += [(200, None), (201, ""), (202, "\n\n"), (203, "same line of words\n" * 30), (204, texts[3][1]), (205, "w " * 20000), (206, "w " * 20000 + "\nx")]
+    docs = spark.createDataFrame([(i, t, "p", 3) for i, t in texts], "doc_id long, text string, first string, n_runs int").repartition(5)
+    for least in (1, 10, 50):
+        want, deleted = brute_dedup(texts, least)
+        got = {r.doc_id: r for r in line_dedup.line_dedup(docs, least).collect()}
+        assert len(got) == len(texts)
+        for (i, t), w, n in zip(texts, want, deleted, strict=True):
+            assert (got[i].text, got[i].n_deleted_lines) == (w, n), i
+            assert got[i].n_lines == (0 if t is None else len(t.split("\n"))) and got[i].first == "p"
+    again = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (1, "d")], "doc_id long, text string")
+    assert sorted((r.doc_id is None, r.text) for r in line_dedup.line_dedup(again, 2).collect()) == [(False, "a b c"), (False, "a b c"), (False, "d"), (True, "")]
+    assert line_dedup.line_dedup(docs.limit(0)).count() == 0
+
+
+def lanes(text):
+    out = [0] * 73
+    for p in text.split("\n"):
+        d = hashlib.sha256(p.encode()).hexdigest()
+        for i in range(8):
+            out[i] = (out[i] + int(d[8 * i : 8 * i + 8], 16)) % 2**32
+        for s in p.replace(". ", "\n").split("\n"):
+            m = hashlib.md5(s.encode()).hexdigest()
+            k = 8 + int(m[:4], 16) % 64
+            out[k] = (out[k] + int(m[4:8], 16)) % 2**16
+            out[72] += 1
+    return out
+
+
+def hexed(v):
+    return "".join(f"{x:08x}" for x in v[:8]) + "".join(f"{x:04x}" for x in v[8:72]) + f"{v[72]:08x}"
+
+
+def test_fingerprints_and_edits(spark):
+    rng = random.Random(6)
+    sentence = lambda: " ".join(rng.choice(["ä", "bb", "日本", "🎉"]) for _ in range(5)) + "."
+    texts = {i: "\n".join(" ".join(sentence() for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 6))) for i in [0, 5, 1023, 1024, 5000, 5001, 3_000_000_000, -7, -2000]}
+    texts |= {7: None, 8: "", 9: texts[5], 10: "long. " * 20000}
+    docs = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id long, text string, bucket string").repartition(3)
+    order = sorted(texts, reverse=True)
+    got = {r.doc_id: r for r in multiset_hash.with_edits(docs).collect()}
+    assert len(got) == len(texts)
+    for i, j in zip(order, order[1:] + order[:1], strict=True):
+        text, after = texts[i] or "", texts[j] or ""
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (hexed(lanes(text)), hexed(lanes(edited)))
+        assert 0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1 and (r.near_edited == 1) == (hexed(lanes(text)) == hexed(lanes(edited)))
+    assert got[9].fingerprint == got[5].fingerprint
+    one = multiset_hash.with_edits(docs.where("doc_id = 5")).first()
+    assert one.near_next == 1
+    assert multiset_hash.with_edits(docs.limit(0)).count() == 0
+    nulls = spark.createDataFrame([(None, "ab"), (3, "x\ny"), (3, "x\nz"), (3, "x\nz")], "doc_id long, text string")
+    rows = sorted(multiset_hash.with_edits(nulls).collect(), key=str)
+    assert len(rows) == 4 and sum(r.near_next is None for r in rows) == 1
+
+
+def test_homomorphism_and_likeness(spark):
+    rng = random.Random(2)
+    p = [". ".join(f"s{rng.random()}" for _ in range(4)) for _ in range(12)]
+    df = spark.createDataFrame([("\n".join(p), "\n".join(p[6:] + p[:6]), "\n".join(p[:8]), "\n".join(p[8:]), "\n".join(p[:8] + ["other"]))], "a string, b string, c string, d string, e string")
+    v = {c: multiset_hash.vector(F.col(c)) for c in "abcde"}
+    r = df.select((v["a"] == v["b"]).alias("order"), (multiset_hash.added(v["c"], v["d"]) == v["a"]).alias("plus"), (multiset_hash.removed(v["a"], v["d"]) == v["c"]).alias("minus"), multiset_hash.likeness(v["a"], v["c"]).alias("third"), multiset_hash.likeness(v["c"], v["e"]).alias("near")).first()
+    assert r.order and r.plus and r.minus
+    assert abs(r.third - 2 / 3) < 0.15 and r.near > 0.9
+
+
+def test_below(spark):
+    ids = [5, 5, 9, 1023, 1024, 10**12, -3, -(10**9), None]
+    got = {r.k: r.below for r in below(spark.createDataFrame([(i,) for i in ids], "k long"), "k").collect()}
+    order = sorted({i for i in ids if i is not None})
+    assert got == dict(zip(order, [None, *order[:-1]], strict=True))
+
+
+MIT = """Copyright (c) 2020 Somebody. All rights reserved.
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and so on.
+The above copyright notice and this permission notice shall be included in all copies.
+The software is provided "AS IS", without warranty of any kind."""
+
+
+def test_licences(spark):
+    bsd = ["Redistribution and use in source and binary forms, with or without modification, are permitted provided.", "Redistributions of source code must retain the above copyright notice.", "Redistributions in binary form must reproduce the above copyright notice."]
+    end = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AS IS."
+    texts = {
+        1: MIT, 2: "\n".join([*bsd, end]), 3: "\n".join([*bsd, "Neither the name of X nor Y may be used to endorse or promote products.", end]), 4: "\n".join([bsd[1], bsd[0], end]),
+        5: "a b. Released under the MIT License.\nLicensed under the Apache License, Version 2.0. Licensed under CC BY-NC 4.0.", 6: None, 7: "", 8: "a license to sing", 9: "word " * 50000 + ".\nThis work is licensed under the GNU General Public License, version 3.",
+        10: "Licensed under the Apache License, Version 2.0\nYou may obtain a copy of the License at\nReleased under the MIT License.\nReleased under the MIT License.",
+    }
+    docs = spark.createDataFrame([(i, t, "z") for i, t in texts.items()] + [(None, "Released under the MIT License", None)], "doc_id long, text string, rest string")
+    got = {r.doc_id: (r.n_sentences, r.licences, r.unmatched) for r in licences.scan(docs).collect()}
+    assert got == {
+        1: (5, "MIT,Proprietary", ""), 2: (4, "BSD-2-Clause", ""), 3: (5, "BSD-3-Clause", ""), 4: (3, "", "bsdSource,bsdGrant,bsdWarranty"), 5: (3, "Apache,MIT,CC-BY-NC", ""), 6: (0, "", ""), 7: (0, "", ""), 8: (0, "", ""),
+        9: (1, "GPL", ""), 10: (4, "Apache-2.0,MIT", ""), None: (1, "MIT", ""),
+    }
+    assert licences.scan(docs.limit(0)).count() == 0
