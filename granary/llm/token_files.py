@@ -60,24 +60,27 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id and all ids (little-endian, 32 bits) with ``end_id`` appended; null text: only that."""
-    tail = int(end_id).to_bytes(4, "little")
+def tokenised(docs: DataFrame, path: str, end_id: int, width: str) -> DataFrame:
+    """doc_id and all ids (of numpy type ``width``) with ``end_id`` appended; null text: only that."""
+    tail = np.array([end_id], width).tobytes()
 
     def make():
         tok = word_tokenizer(path)
 
+        def narrow(text: str | None) -> bytes:
+            return np.frombuffer(tok.ids(text or ""), "<u4").astype(width).tobytes() + tail
+
         def work(batch: pa.RecordBatch):
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, len(ids), 256):
-                yield {"doc_id": ids[at : at + 256], "ids": [tok.ids(t or "") + tail for t in texts[at : at + 256].to_pylist()]}
+                yield {"doc_id": ids[at : at + 256], "ids": list(map(narrow, texts[at : at + 256].to_pylist()))}
 
         return work
 
     return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), make, TOKENS)
 
 
-def id_counts(tokens: DataFrame) -> DataFrame:
+def id_counts(tokens: DataFrame, width: str) -> DataFrame:
     """Occurrences of each id over all documents (at most the vocabulary's rows)."""
 
     def make():
@@ -86,7 +89,7 @@ def id_counts(tokens: DataFrame) -> DataFrame:
         def work(batch: pa.RecordBatch):
             nonlocal total
             for b in batch.column(0):
-                got = np.bincount(np.frombuffer(b.as_buffer(), "<u4"))
+                got = np.bincount(np.frombuffer(b.as_buffer(), width))
                 if len(got) > len(total):
                     total = np.pad(total, (0, len(got) - len(total)))
                 total[: len(got)] += got
@@ -109,8 +112,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 1, path: st
     """
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
-    tokens = written(tokenised(docs, tokenizer, end_id), "tokens")
-    counts = sorted(id_counts(tokens).collect(), key=lambda r: (-r.n, r.id))  # at most one row for each id of the vocabulary
+    width = "<u2" if word_tokenizer(tokenizer).library.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"  # of ids between the steps
+    tokens = written(tokenised(docs, tokenizer, end_id, width), "tokens")
+    counts = sorted(id_counts(tokens, width).collect(), key=lambda r: (-r.n, r.id))  # at most one row for each id of the vocabulary
     by_rank = [r.id for r in counts]
     rank_of = np.zeros(max(by_rank, default=0) + 1, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
@@ -123,11 +127,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 1, path: st
         def work(batch: pa.RecordBatch):
             nonlocal block
             docs, raw, size, first = batch.column(0).to_pylist(), batch.column(1), 0, 0
-            sizes = [len(b.as_buffer()) // 4 for b in raw]
+            sizes = [len(b.as_buffer()) // np.dtype(width).itemsize for b in raw]
             for i, n in enumerate(sizes):
                 size += n
                 if size >= block_ids or i == len(sizes) - 1:
-                    ids = np.frombuffer(b"".join(raw[first : i + 1].to_pylist()), "<u4")
+                    ids = np.frombuffer(b"".join(raw[first : i + 1].to_pylist()), width)
                     control, data = encode_ranks(rank_of[ids])
                     yield {"shard": [shard], "block": [block], "n_ids": [size], "doc_ids": [docs[first : i + 1]], "counts": [sizes[first : i + 1]], "control": [control], "data": [data]}
                     block, size, first = block + 1, 0, i + 1
