@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import licences, line_dedup, multiset_hash, near_dups, packing, quality, sql, token_files, transducer
+from granary.llm import licences, line_dedup, multiset_hash, near_dups, packing, personal_data, quality, sql, token_files, toxicity, transducer
 from granary.llm.common import table
 
 
@@ -41,10 +41,18 @@ def op6_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.with_edits(table(spark, sf_dir, "documents"))
 
 
+def op7_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.found(table(spark, sf_dir, "documents"))
+
+
 def op8_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digest(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -56,7 +64,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_winnowing_line_dedup": op4_winnowing_line_dedup,
     "op5_nnls_packing": op5_nnls_packing,
     "op6_multiset_hash": op6_multiset_hash,
+    "op7_skip_chain_pii": op7_skip_chain_pii,
     "op8_licence_sentences": op8_licence_sentences,
+    "op9_noisy_channel_toxicity": op9_noisy_channel_toxicity,
     "op10_token_files": op10_token_files,
 }
 
