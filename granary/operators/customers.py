@@ -48,10 +48,11 @@ def scaled(rfm_: DataFrame) -> DataFrame:
 
 def nearest(points: DataFrame, centers: list[tuple[float, ...]], places: int = 6) -> DataFrame:
     """Adds ``cluster``: the nearest of given centers in scaled space, the first of equals."""
-    far = [reduce(lambda s, x: s + x, (F.pow(F.round(f"z_{m}", places) - float(c), F.lit(2.0)) for m, c in zip(METRICS, center, strict=True))) for center in centers]
-    least = F.least(*(F.round(d, places) for d in far))
-    which = reduce(lambda rest, i: F.when(F.round(far[i], places) == least, F.lit(i)).otherwise(rest), reversed(range(len(centers))), F.lit(None).cast("int"))
-    return points.withColumn("cluster", which.cast("int"))
+    def far(center: tuple[float, ...]) -> Column:
+        return reduce(lambda s, x: s + x, (F.pow(F.round(f"z_{m}", places) - float(c), F.lit(2.0)) for m, c in zip(METRICS, center, strict=True)))
+
+    ranked = F.array(*(F.struct(F.round(far(c), places).alias("far"), F.lit(i).alias("i")) for i, c in enumerate(centers)))
+    return points.withColumn("cluster", F.array_min(ranked)["i"])
 
 
 def k_means(points: DataFrame, k: int = 4, starts: int = 10, seed: int = 42, steps: int = 300) -> tuple[DataFrame, float]:
@@ -85,7 +86,7 @@ def labelled(clustered: DataFrame, check: bool = False) -> DataFrame:
     labels = cluster_labels(clustered).select("cluster", "segment_label")
     if check and (n := labels.count()) != len(LABELS):
         raise ValueError(f"{len(LABELS)} clusters are needed for the labels, there are {n}")
-    return clustered.join(F.broadcast(labels), "cluster").select("customer_id", *METRICS, "cluster", "segment_label")
+    return clustered.join(F.broadcast(labels), "cluster", "left").select("customer_id", *METRICS, "cluster", "segment_label")
 
 
 def segment_summary(segments: DataFrame) -> DataFrame:

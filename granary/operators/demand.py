@@ -14,14 +14,15 @@ TOP = 100
 def weekly_demand(transactions: DataFrame, top: int = TOP) -> DataFrame:
     """(week, stock_code, weekly_sales) of the ``top`` products; weeks without sales have no row.
 
-    Sales are summed by week first, and both the ranking and the result come from
-    the sums, so the sales are scanned and shuffled once. The kept codes are at most
-    ``top`` rows.
+    The kept codes are at most ``top`` rows, so they are broadcast and filter the
+    scan: one pass sums quantities per product, a second sums only the kept products
+    by week. Both shuffle partial sums alone, never sales.
     """
     sold = transactions.where(F.col("stock_code").isNotNull() & F.col("quantity").isNotNull())
-    weekly = sold.groupBy("stock_code", week_ending("invoice_date").alias("week")).agg(F.sum("quantity").cast("long").alias("weekly_sales"))
-    best = top_skus(weekly, top, "weekly_sales").select("stock_code")
-    return weekly.join(F.broadcast(best), "stock_code", "left_semi").where(F.col("week").isNotNull()).select("week", "stock_code", "weekly_sales")
+    best = top_skus(sold, top).select("stock_code")
+    kept = sold.join(F.broadcast(best), "stock_code", "left_semi").where(F.col("invoice_date").isNotNull())
+    weekly = kept.groupBy("stock_code", week_ending("invoice_date").alias("week")).agg(F.sum("quantity").cast("long").alias("weekly_sales"))
+    return weekly.select("week", "stock_code", "weekly_sales")
 
 
 def with_empty_weeks(weekly: DataFrame) -> DataFrame:
