@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
 from collections.abc import Mapping
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+ROOT = Path(__file__).resolve().parent.parent
+
 
 def session(master: str | None = None, app: str = "granary", **conf: str) -> SparkSession:
     """A session with the settings the queries rely on: UTC and adaptive execution."""
@@ -29,3 +34,14 @@ def jdbc_options(env: Mapping[str, str] = os.environ, host: str = "localhost:543
     if not all(parts):
         raise ValueError("no database: set DATABASE_URL, or POSTGRES_USER, POSTGRES_PASSWORD and POSTGRES_DB")
     return {"url": f"jdbc:postgresql://{host}/{parts[2]}", "user": parts[0], "password": parts[1]}
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """The session, after sending this package to its Python workers if they would not find it otherwise."""
+    there = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p} | {os.getcwd()}
+    context = spark.sparkContext
+    if str(ROOT) not in there and not getattr(context, "granary_shipped", False):
+        folder = tempfile.mkdtemp()
+        context.addPyFile(shutil.make_archive(f"{folder}/granary-{context.applicationId}", "zip", ROOT, "granary"))
+        context.granary_shipped = True
+    return spark
