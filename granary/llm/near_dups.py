@@ -8,31 +8,36 @@ sketches' XOR estimates how many samples differ, precisely so at high similarity
 Equal sets are collapsed to one representative first, so copies never meet in a
 bucket. In a bucket, every member is compared with the bucket's smallest id only.
 Pairs whose lengths or sketches rule out the threshold are discarded, the others
-confirmed on full sets. Where a bucket still spans several components, more of its
-members become such hubs, twice as many each round, until no two members of
-different components are left uncompared. So no link between members of a bucket
-is lost, and groups that one hub holds together cost one comparison a member.
+confirmed on full sets. Where a bucket still spans several components, further
+members become such hubs: first some of the component that most belong to, then
+those outside it, more each round, until the others are of one component. So no
+link between members of a bucket is lost, while a group that hangs together costs
+few comparisons a member.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.llm.common import arrow_map, dropped, written
-from granary.llm.components import components
+from granary.llm.components import components, joined
 from granary.llm.words import grams, hashed_words, mix, table
 
 BANDS, ROWS = 40, 5
 SKETCH_BITS = 1024
 #: Standard deviations of the sample below the threshold at which a sketch rules a pair out.
-SKETCH_SIGMAS = 6.0
+SKETCH_SIGMAS = 5.0
 BLOCK = 1024
+#: Probes of a bucket's main component in the first round that needs them, and members
+#: outside it in the next round; eight times as many in each round after.
+PROBES, HUBS = (16,), 256
 
 SIGNATURE = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set_a", T.LongType()), T.StructField("set_b", T.LongType()),
@@ -77,13 +82,15 @@ class Signer:
 def most_differing_bits(threshold: float, samples: int, bits: int, sigmas: float = SKETCH_SIGMAS) -> int:
     """Greatest XOR population count that the sketches of a pair at the threshold show.
 
-    Of the samples, binomially many differ; each sets or clears two random bits, of
-    which an odd number of hits stays. Both spreads are allowed for.
+    Binomially many samples differ, and each flips two random bits, of which those
+    that fall together cancel out. Both spreads are allowed for.
     """
     p = 1 - threshold
-    differing = samples * p + sigmas * math.sqrt(samples * p * (1 - p))
-    odd = bits / 2 * (1 - (1 - 2 / bits) ** (2 * differing))
-    return math.ceil(odd + sigmas * math.sqrt(odd * (1 - odd / bits)))
+    flips, stays = 2 * samples * p, 1 - 2 / bits
+    odd = bits / 2 * (1 - stays**flips)
+    sampling = 2 * stays**flips * math.sqrt(samples * p * (1 - p))
+    folding = math.sqrt(2 * flips * flips / bits)
+    return math.ceil(odd + sigmas * math.hypot(sampling, folding))
 
 
 def signatures(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS, bits: int = SKETCH_BITS) -> DataFrame:
@@ -163,41 +170,62 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     named = signed.where("doc_id is not null and n_shingles > 0")
     reps = named.groupBy(*key).agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("r"))
     reps = written(reps.select(*key, F.col("r.doc_id").alias("id"), "r.bands", "r.sketch"), "representatives")
-    info = reps.groupBy("id").agg(F.max("n_shingles").alias("n"), F.max_by("sketch", "n_shingles").alias("sketch"))
+    repeats = _repeats(signed)
+    info = reps.select("id", F.col("n_shingles").alias("n"), "sketch", "bands")
+    if repeats:  # an id that names rows of several texts is represented by its largest set
+        info = info.groupBy("id").agg(F.max("n").alias("n"), F.max_by("sketch", "n").alias("sketch"), F.max_by("bands", "n").alias("bands"))
 
-    members = reps.select("id", F.explode("bands").alias("bucket"))
+    members = reps.select("id", F.posexplode("bands").alias("band", "bucket"))
     hubs = members.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    members = written(members.join(hubs, "bucket").select("id", "bucket", "hub"), "members")
+    members = written(members.join(hubs, "bucket").select("id", "bucket", "band", "hub"), "members")
     shared = written(info.join(members.select("id").distinct(), "id"), "candidates")
     texts = docs.join(shared.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    # An id that names rows of several texts is represented by its largest set.
     sets = full_sets(texts.select(F.col("doc_id").alias("id"), "text"), words)
-    sets = written(sets.groupBy("id").agg(F.max_by("shingles", F.length("shingles")).alias("shingles")) if _repeats(signed) else sets, "sets")
+    sets = written(sets.groupBy("id").agg(F.max_by("shingles", F.length("shingles")).alias("shingles")) if repeats else sets, "sets")
+
+    def alike(n: str, m: str, s: str, t: str) -> Column:
+        """Whether sizes and sketches allow the threshold."""
+        apart = F.aggregate(F.zip_with(s, t, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+        return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (apart <= limit)
 
     def verified(pairs: DataFrame) -> DataFrame:
         side = lambda c: shared.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
         both = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
-        apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        fits = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (apart <= limit)
-        return written(confirmed(both.where(fits), sets, percent), "links")
+        return written(confirmed(both.where(alike("n_a", "n_b", "s_a", "s_b")), sets, percent), "links")
 
     links = verified(members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")))
     found = components(links)
-    live = _unsettled(members.select("id", "bucket"), found)
-    low, high = 1, 3  # ranks below ``low`` have been compared with all others
+    found = written(shared.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "components")
+    # The hub has met all others of its bucket. In what is left of a bucket, members
+    # outside the component that most belong to become hubs in turn.
+    live = _unsettled(members.where("id != hub").select("id", "bucket", "band"), found)
     if not live.isEmpty():
-        order = Window.partitionBy("bucket").orderBy("id")
-        live = written(live.withColumn("rank", F.row_number().over(order) - 1), "unsettled")
-        # The hub of a bucket is its smallest member; it has rank 0.
-        while not live.where(F.col("rank") > low).isEmpty():
-            hub = live.where(F.col("rank").between(low, high - 1)).select(F.col("id").alias("a"), "bucket", F.col("rank").alias("r"), F.col("component").alias("c"))
-            pairs = live.join(hub, "bucket").where((F.col("rank") > F.col("r")) & (F.col("component") != F.col("c")))
-            more = verified(pairs.select("a", F.col("id").alias("b")))
+        # Sketch words and band keys as columns: a condition on them is compiled as a whole.
+        words_ = [f"s{i}" for i in range(bits // 64)]
+        keys_ = [f"b{i}" for i in range(bands)]
+        flat = shared.select("id", "n", *(F.col("sketch")[i].alias(c) for i, c in enumerate(words_)), *(F.col("bands")[i].alias(c) for i, c in enumerate(keys_)))
+        live = written(live.join(flat, "id"), "unsettled")
+        turn = 0
+        while not live.isEmpty():
+            sizes = live.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+            main = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
+            probing = turn < len(PROBES)
+            side = (F.col("component") == F.col("main")) == F.lit(probing)
+            nth = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("id", "bucket"), "id"))
+            hub = live.join(main, "bucket").where(side).withColumn("nth", nth).where(F.col("nth") <= (PROBES[turn] if probing else HUBS * 8 ** (turn - len(PROBES))))
+            hub = written(hub.select("bucket", *(F.col(c).alias(f"h_{c}") for c in ("id", "component", "n", *words_, *keys_))), "hubs")
+            apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(c).bitwiseXOR(F.col(f"h_{c}"))) for c in words_))
+            meet = (F.col("component") != F.col("h_component")) & (100 * F.least("n", "h_n") >= percent * F.greatest("n", "h_n")) & (apart <= limit)
+            if not probing and not repeats:
+                # Two members of several common buckets meet in the first of them only.
+                meet = reduce(lambda x, y: x & y, ((F.col("band") <= k) | (F.col(c) != F.col(f"h_{c}")) for k, c in enumerate(keys_)), meet)
+            met = live.join(hub, (live["bucket"] == hub["bucket"]) & meet).select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b")).distinct()
+            more = written(confirmed(met, sets, percent), "links")
             if not more.isEmpty():
-                links = written(links.union(more), "links")
-                found = components(links)
-            live = written(_unsettled(live.select("id", "bucket", "rank"), found), "unsettled")
-            low, high = high, 2 * high + 1
+                found = joined(found, more)
+            rest = live.drop("component").join(hub.select("bucket", F.col("h_id").alias("id")), ["bucket", "id"], "left_anti")
+            live = written(_unsettled(rest, found), "unsettled")
+            turn += 1
     for old in (members, sets, shared):
         dropped(old)
 
@@ -215,7 +243,7 @@ def _repeats(signed: DataFrame) -> bool:
 
 def _unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
     """Members of buckets that span several components, with their component."""
-    named = members.join(found, "id", "left").select(*members.columns, F.coalesce("component", "id").alias("component"))
+    named = members.join(found, "id")
     span = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     return named.join(span.select("bucket"), "bucket")
 

@@ -102,7 +102,7 @@ def test_repeated_rows_and_empty_table(spark):
     assert near_dups.near_duplicates(docs.limit(0)).count() == 0
 
 
-@settings(max_examples=15, deadline=None)
+@settings(max_examples=6, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=40))
 def test_components(spark, links):
     got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
