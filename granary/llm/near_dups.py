@@ -7,7 +7,9 @@ sketches' XOR estimates how many samples differ, precisely so at high similarity
 
 Equal sets are collapsed to one representative first, so copies never meet in a
 bucket. In a bucket, every member is compared with the bucket's smallest id only.
-Pairs whose lengths or sketches rule out the threshold are discarded, the others
+Pairs whose lengths or sketches rule out the threshold are discarded, as are those
+whose parity bitmaps of the full sets differ in more bits than elements may: an
+element that only one set has flips one bit, so that bound is exact. The others are
 confirmed on full sets. Where a bucket still spans several components, further
 members become such hubs: first some of the component that most belong to, then
 those outside it, more each round, until the others are of one component. So no
@@ -41,7 +43,7 @@ PROBES, HUBS = (16,), 256
 
 SIGNATURE = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set_a", T.LongType()), T.StructField("set_b", T.LongType()),
-    T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType())),
+    T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("parity", T.ArrayType(T.LongType())),
 ])
 SETS = T.StructType([T.StructField("id", T.LongType()), T.StructField("shingles", T.BinaryType())])
 
@@ -52,8 +54,14 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(grams(h, min(words, len(h)) or 1))
 
 
+def parity(values: np.ndarray, bits: int) -> np.ndarray:
+    """Bitmap of ``bits`` in 64-bit words, in which each value flips one bit."""
+    odd = np.bincount((values % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
 class Signer:
-    """MinHash samples of a set, their bands and their Odd sketch."""
+    """MinHash samples of a set, their bands, their Odd sketch, and the parity bitmap of the whole set."""
 
     def __init__(self, bands: int = BANDS, rows: int = ROWS, bits: int = SKETCH_BITS):
         self.bands, self.rows, self.bits = bands, rows, bits
@@ -69,14 +77,12 @@ class Signer:
             least = got if least is None else np.minimum(least, got)
         return least
 
-    def __call__(self, elements: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, elements: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         s = self.samples(elements)
         keys = self.band.copy()
         for row in s.reshape(self.bands, self.rows).T:
             keys = mix(keys ^ row)
-        bit = mix(s ^ self.position) % np.uint64(self.bits)
-        odd = np.bincount(bit.astype(np.int64), minlength=self.bits) & 1
-        return keys.view(np.int64), np.packbits(odd.astype(np.uint8)).view("<i8")
+        return keys.view(np.int64), parity(mix(s ^ self.position), self.bits), parity(elements, self.bits)
 
 
 def most_differing_bits(threshold: float, samples: int, bits: int, sigmas: float = SKETCH_SIGMAS) -> int:
@@ -103,9 +109,9 @@ def signatures(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS
                 out: dict[str, list] = {n: [] for n in SIGNATURE.names}
                 for doc, text in zip(ids[at : at + 128], texts[at : at + 128].to_pylist(), strict=True):
                     e = shingles(text, words)
-                    key, sketch = signer(e) if len(e) else (None, None)
+                    key, sketch, whole = signer(e) if len(e) else (None, None, None)
                     a, b = (int(mix(e ^ np.uint64(k)).sum().astype(np.int64)) for k in (3, 5))
-                    for n, v in zip(SIGNATURE.names, (doc, len(e), a, b, key, sketch), strict=True):
+                    for n, v in zip(SIGNATURE.names, (doc, len(e), a, b, key, sketch, whole), strict=True):
                         out[n].append(v)
                 yield out
 
@@ -168,12 +174,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     key = ["n_shingles", "set_a", "set_b"]
     # One representative for each different set: the smallest id that has it.
     named = signed.where("doc_id is not null and n_shingles > 0")
-    reps = named.groupBy(*key).agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("r"))
-    reps = written(reps.select(*key, F.col("r.doc_id").alias("id"), "r.bands", "r.sketch"), "representatives")
+    reps = named.groupBy(*key).agg(F.min(F.struct("doc_id", "bands", "sketch", "parity")).alias("r"))
+    reps = written(reps.select(*key, F.col("r.doc_id").alias("id"), "r.bands", "r.sketch", "r.parity"), "representatives")
     repeats = _repeats(signed)
-    info = reps.select("id", F.col("n_shingles").alias("n"), "sketch", "bands")
+    info = reps.select("id", F.col("n_shingles").alias("n"), "sketch", "parity", "bands")
     if repeats:  # an id that names rows of several texts is represented by its largest set
-        info = info.groupBy("id").agg(F.max("n").alias("n"), F.max_by("sketch", "n").alias("sketch"), F.max_by("bands", "n").alias("bands"))
+        info = info.groupBy("id").agg(F.max("n").alias("n"), F.max_by("sketch", "n").alias("sketch"), F.max_by("parity", "n").alias("parity"), F.max_by("bands", "n").alias("bands"))
 
     members = reps.select("id", F.posexplode("bands").alias("band", "bucket"))
     hubs = members.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1")
@@ -183,15 +189,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     sets = full_sets(texts.select(F.col("doc_id").alias("id"), "text"), words)
     sets = written(sets.groupBy("id").agg(F.max_by("shingles", F.length("shingles")).alias("shingles")) if repeats else sets, "sets")
 
-    def alike(n: str, m: str, s: str, t: str) -> Column:
-        """Whether sizes and sketches allow the threshold."""
-        apart = F.aggregate(F.zip_with(s, t, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-        return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (apart <= limit)
+    def possible(n: Column, m: Column, samples_apart: Column, sets_apart: Column) -> Column:
+        """Whether sizes, sketches and parity bitmaps allow the threshold."""
+        sizes = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+        return sizes & (samples_apart <= limit) & ((100 + percent) * sets_apart <= (100 - percent) * (n + m))
+
+    def apart(s: str, t: str) -> Column:
+        """Population count of the XOR of two bitmaps."""
+        return F.aggregate(F.zip_with(s, t, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        side = lambda c: shared.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+        side = lambda c: shared.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"), F.col("parity").alias(f"p_{c}"))
         both = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
-        return written(confirmed(both.where(alike("n_a", "n_b", "s_a", "s_b")), sets, percent), "links")
+        return written(confirmed(both.where(possible(F.col("n_a"), F.col("n_b"), apart("s_a", "s_b"), apart("p_a", "p_b"))), sets, percent), "links")
 
     links = verified(members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")))
     found = components(links)
@@ -200,10 +210,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     # outside the component that most belong to become hubs in turn.
     live = _unsettled(members.where("id != hub").select("id", "bucket", "band"), found)
     if not live.isEmpty():
-        # Sketch words and band keys as columns: a condition on them is compiled as a whole.
-        words_ = [f"s{i}" for i in range(bits // 64)]
+        # Words of bitmaps and band keys as columns: a condition on them is compiled as a whole.
+        words_, sets_ = ([f"{c}{i}" for i in range(bits // 64)] for c in "sp")
         keys_ = [f"b{i}" for i in range(bands)]
-        flat = shared.select("id", "n", *(F.col("sketch")[i].alias(c) for i, c in enumerate(words_)), *(F.col("bands")[i].alias(c) for i, c in enumerate(keys_)))
+        flat = shared.select("id", "n", *(F.col("sketch")[i].alias(c) for i, c in enumerate(words_)), *(F.col("parity")[i].alias(c) for i, c in enumerate(sets_)), *(F.col("bands")[i].alias(c) for i, c in enumerate(keys_)))
         live = written(live.join(flat, "id"), "unsettled")
         turn = 0
         while not live.isEmpty():
@@ -213,9 +223,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
             side = (F.col("component") == F.col("main")) == F.lit(probing)
             nth = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("id", "bucket"), "id"))
             hub = live.join(main, "bucket").where(side).withColumn("nth", nth).where(F.col("nth") <= (PROBES[turn] if probing else HUBS * 8 ** (turn - len(PROBES))))
-            hub = written(hub.select("bucket", *(F.col(c).alias(f"h_{c}") for c in ("id", "component", "n", *words_, *keys_))), "hubs")
-            apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(c).bitwiseXOR(F.col(f"h_{c}"))) for c in words_))
-            meet = (F.col("component") != F.col("h_component")) & (100 * F.least("n", "h_n") >= percent * F.greatest("n", "h_n")) & (apart <= limit)
+            hub = written(hub.select("bucket", *(F.col(c).alias(f"h_{c}") for c in ("id", "component", "n", *words_, *sets_, *keys_))), "hubs")
+            flipped = lambda names: reduce(lambda x, y: x + y, (F.bit_count(F.col(c).bitwiseXOR(F.col(f"h_{c}"))) for c in names))
+            meet = (F.col("component") != F.col("h_component")) & possible(F.col("n"), F.col("h_n"), flipped(words_), flipped(sets_))
             if not probing and not repeats:
                 # Two members of several common buckets meet in the first of them only.
                 meet = reduce(lambda x, y: x & y, ((F.col("band") <= k) | (F.col(c) != F.col(f"h_{c}")) for k, c in enumerate(keys_)), meet)
@@ -223,7 +233,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
             more = written(confirmed(met, sets, percent), "links")
             if not more.isEmpty():
                 found = joined(found, more)
-            rest = live.drop("component").join(hub.select("bucket", F.col("h_id").alias("id")), ["bucket", "id"], "left_anti")
+            rest = live.drop("component")
+            if not probing:  # probes stay: they are of the main component and have met its outsiders only
+                rest = rest.join(hub.select("bucket", F.col("h_id").alias("id")), ["bucket", "id"], "left_anti")
             live = written(_unsettled(rest, found), "unsettled")
             turn += 1
     for old in (members, sets, shared):

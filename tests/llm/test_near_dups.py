@@ -121,3 +121,15 @@ def test_sketch_keeps_pairs_at_the_threshold():
         assert bits[0] <= limit  # 700 of 900 in common
         far += bits[1] > limit
     assert far > 290
+
+
+def test_parity_bitmaps_never_rule_out_a_pair_at_the_threshold():
+    """A bit differs only by an element that one set alone has, so the bound on sizes is exact."""
+    rng = np.random.default_rng(3)
+    for size in (1, 9, 150, 3000):
+        base = near_dups.mix(rng.integers(0, 1 << 62, size).astype(np.uint64))
+        for extra in (0, size // 9, size // 5):
+            other = np.concatenate((base[extra:], near_dups.mix(rng.integers(0, 1 << 62, extra).astype(np.uint64))))
+            flipped = int(np.bitwise_count(near_dups.parity(base, 1024) ^ near_dups.parity(other, 1024)).sum())
+            assert flipped <= 2 * extra
+            assert 180 * flipped <= 20 * (len(base) + len(other)) or 100 * (size - extra) < 80 * (size + extra)
