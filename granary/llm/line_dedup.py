@@ -10,13 +10,19 @@ occurred before are extended both ways into maximal runs where they touch, and t
 lines of these later runs are deleted. Earlier means a smaller doc_id, or a lower
 line in the same document.
 
+A repeated run also ends in lines from which no window fits inside it. With
+``maximal``, the shortest run of ``min_words`` words that ends at a line is looked
+up too, and pairs of lines that each hold so many. These with the windows cover
+every line, and every blank one inside, of each run of ``min_words`` words or more
+that stands anywhere before, and nothing else. Each line adds at most two rows.
+
 Only hashes are shuffled before the last join, each group is reduced to its first
 position by a partial aggregation, and no pairs within a group are made.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.common import written
@@ -25,9 +31,10 @@ MIN_WORDS = 50
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def line_windows(docs: DataFrame, min_words: int) -> DataFrame:
+def line_windows(docs: DataFrame, min_words: int, maximal: bool = False) -> DataFrame:
     """A row for each window: document (id, content), lines first..last, fingerprint
-    and its position, and a hash of all its lines."""
+    and its position, and a hash of all its lines. With ``maximal``, rows of the same
+    kind for runs back from a line and for pairs of long lines that are no windows."""
     lines = docs.select("id", "content", F.posexplode(F.split("text", "\n")).alias("line", "value"))
     lines = lines.withColumn("words", F.regexp_count("value", F.lit(WORD))).where("words > 0")
     # One shuffle serves the repeated rows of a document and all windows on it.
@@ -39,12 +46,30 @@ def line_windows(docs: DataFrame, min_words: int) -> DataFrame:
         "id", "content", F.col("line").alias("first"), "start", F.sum("words").over(document).alias("total"),
         F.max("line").over(ahead).alias("last"), F.min(F.struct("h", "line")).over(ahead).alias("least"), F.xxhash64(F.collect_list("h").over(ahead)).alias("lines"),
     )
-    return seen.where(F.col("total") >= F.col("start") + min_words).select("id", "content", "first", "last", F.col("least.h").alias("print"), F.col("least.line").alias("at"), "lines")
+    windows = seen.where(F.col("total") >= F.col("start") + min_words).select("id", "content", "first", "last", F.col("least.h").alias("print"), F.col("least.line").alias("at"), "lines")
+    if not maximal:
+        return windows
+    # Starts of lines and their ends have the same order.
+    placed = placed.withColumn("end", F.col("start") + F.col("words"))
+    back = document.orderBy("end").rangeBetween(1 - min_words, Window.currentRow)
+    pair = document.orderBy("end").rowsBetween(-1, Window.currentRow)
+
+    def run(over) -> Column:
+        return F.struct(F.min("line").over(over).alias("first"), F.col("line").alias("last"), F.min(F.struct("h", "line")).over(over).alias("least"), F.xxhash64(F.collect_list("h").over(over)).alias("lines"))
 
+    ends = placed.select(
+        "id", "content",
+        # Shorter by its last line it would not do, or it is the window of its first line.
+        F.when((F.col("end") >= min_words) & (F.col("start") - F.min("start").over(back) >= min_words), run(back)).alias("back"),
+        F.when((F.count("*").over(pair) == 2) & (F.min("words").over(pair) >= min_words), run(pair)).alias("pair"),
+    )
+    more = ends.select("id", "content", F.explode(F.array("back", "pair")).alias("r")).where("r is not null")
+    return windows.union(more.select("id", "content", "r.first", "r.last", "r.least.h", "r.least.line", "r.lines"))
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """id, content, first, last: maximal runs of lines that occurred before."""
-    windows = written(line_windows(docs, min_words), "windows")
+
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, maximal: bool = False) -> DataFrame:
+    """id, content, first, last: runs of lines that occurred before, joined where they touch."""
+    windows = written(line_windows(docs, min_words, maximal), "windows")
     prints = windows.select("id", "content", "at", "print").distinct()
     shared = prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
     windows = windows.join(shared, "print", "left_semi")
@@ -58,10 +83,13 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return marked.withColumn("run", F.sum("opens").over(order)).groupBy("id", "content", "run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("run")
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, maximal: bool = False) -> DataFrame:
     """``docs`` with later repeated runs deleted from ``text``, and three columns
     more: n_lines, n_deleted_lines and n_runs (long).
 
+    Without ``maximal``, only whole windows are deleted, as the SQL says: the last
+    lines of a repeated run, up to ``min_words - 1`` words, can stay.
+
     Blank lines carry no hash; those inside a deleted run go with it. A null text
     has no lines and stays null, an empty one has one blank line; a document of
     which all lines were seen before keeps its row with an empty text. Rows with
@@ -71,7 +99,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     An empty table gives no rows.
     """
     named = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("content"), "text").where("text is not null")
-    runs = repeated_runs(named, min_words).groupBy("id", "content").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    runs = repeated_runs(named, min_words, maximal).groupBy("id", "content").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     fresh = ("n_lines", "n_deleted_lines", "n_runs")
     keep = [c for c in docs.columns if c not in fresh]
     left = docs.select(*(F.col(c) for c in keep)).alias("d")

@@ -63,6 +63,39 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(docs.limit(0)).count() == 0
 
 
+def brute_maximal(texts, least):
+    """As brute_dedup, but of all runs of ``least`` words or more, of any length."""
+    seen, gone = set(), {}
+    for d, (_, text) in enumerate(texts):
+        lines = [(i, x, n_words(x)) for i, x in enumerate((text or "").split("\n")) if n_words(x)]
+        for s in range(len(lines)):
+            total, content = 0, ()
+            for i, x, n in lines[s:]:
+                total, content = total + n, (*content, x)
+                if total >= least and content in seen:
+                    gone.setdefault(d, set()).update(range(lines[s][0], i + 1))
+                elif total >= least:
+                    seen.add(content)
+    return [None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(d, ())) for d, (_, t) in enumerate(texts)]
+
+
+def test_line_dedup_of_maximal_runs(spark):
+    long, other, tail = " ".join(f"l{i}" for i in range(60)), " ".join(f"o{i}" for i in range(55)), ["one two", "three", "four five six"]
+    # The earliest place of the long line has no tail, a later one has; long lines with a blank between them.
+    texts = [(1, f"{long}\nno"), (2, "\n".join([long, *tail, "end"])), (3, "\n".join(["x", long, *tail])), (4, f"{long}\n\n{other}"), (5, f"a\n{long}\n\n{other}\none two")]
+    rng = random.Random(7)
+    lines = [" ".join(rng.choice("abcd") for _ in range(rng.choice([1, 2, 3, 12]))) for _ in range(9)]
+    for i in range(60):
+        own = [rng.choice([*lines, ""]) for _ in range(rng.randint(0, 9))]
+        texts.append((10 + i, "\n".join(own if i % 3 or i < 3 else own[:2] + texts[-3][1].split("\n")[-6:] + own[2:4])))
+    texts += [(100, None), (101, ""), (102, "same line of words\n" * 30)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    for least in (1, 10, 50):
+        got = {r.doc_id: r.text for r in line_dedup.line_dedup(docs, least, maximal=True).collect()}
+        assert got == {i: t for (i, _), t in zip(texts, brute_maximal(texts, least), strict=True)}
+    assert (got[3], got[5]) == ("x", "a\none two")
+
+
 def lanes(text):
     out = [0] * 73
     for p in text.split("\n"):
