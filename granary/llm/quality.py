@@ -4,7 +4,13 @@ A document's UTF-8 bytes are compressed by zstandard as a whole and in fixed
 chunks. Ratios (size before over size after) above an upper limit mean repetitive
 text, below a lower one incompressible text. Short texts cannot compress far and
 long ones compress further, so limits depend on the length. A document fails by
-its whole ratio, or if more than a share of its chunks lie outside the chunk band.
+its whole ratio, or if chunks outside the chunk band hold more than a share of it.
+
+Texts of two ``CHUNK`` or more are read in chunks of that size, shorter ones in the
+greatest size of ``SHORT_CHUNKS`` that goes into them twice. The last chunk is
+aligned to the end and counts for the bytes that no chunk before it holds, so each
+byte counts once. Texts of less than two of the least size (256 bytes) are one
+chunk, with the limits of the whole ratio.
 """
 
 from __future__ import annotations
@@ -37,6 +43,14 @@ BANDS = (
 CHUNK = 2048
 CHUNK_BAND = (1.3, 2.2)
 CHUNK_SHARE = 0.25
+#: (chunk of so many bytes, least ratio, greatest ratio) for texts shorter than two
+#: ``CHUNK``; 3 % or more outside the ratios of all chunks of documents labelled good.
+SHORT_CHUNKS = (
+    (128, 0.98, 1.49),
+    (256, 1.17, 1.7),
+    (512, 1.35, 1.99),
+    (1024, 1.6, 2.05),
+)
 LEVEL = 3
 
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -73,25 +87,28 @@ def counts(text: bytes) -> tuple[int, int, int, int, int]:
 class Bands:
     """Compression verdict of one text: (ratio, chunks, chunks outside, passes)."""
 
-    def __init__(self, bands=BANDS, chunk: int = CHUNK, chunk_band=CHUNK_BAND, share: float = CHUNK_SHARE, level: int = LEVEL):
+    def __init__(self, bands=BANDS, chunk: int = CHUNK, chunk_band=CHUNK_BAND, share: float = CHUNK_SHARE, level: int = LEVEL, short=SHORT_CHUNKS):
         import zstandard
 
         self.size = zstandard.ZstdCompressor(level=level).compress
         self.from_bytes = np.array([b[0] for b in bands])
-        self.bands, self.chunk, self.chunk_band, self.share = bands, chunk, chunk_band, share
+        self.bands, self.share = bands, share
+        self.chunks = [(chunk, *chunk_band), *sorted((x for x in short if x[0] < chunk), reverse=True)]
 
     def __call__(self, text: bytes) -> tuple[float, int, int, bool]:
         if not text:
             return 1.0, 0, 0, True
         ratio = len(text) / len(self.size(text))
         _, least, most = self.bands[int(np.searchsorted(self.from_bytes, len(text), "right")) - 1]
-        low, high = self.chunk_band
-        n = outside = 0
-        if len(text) >= 2 * self.chunk:  # a remainder shorter than a chunk joins no chunk
-            for at in range(0, len(text) - self.chunk + 1, self.chunk):
-                r = self.chunk / len(self.size(text[at : at + self.chunk]))
-                n, outside = n + 1, outside + (not low <= r <= high)
-        return ratio, n, outside, least <= ratio <= most and outside <= self.share * n
+        chunk, low, high = next((c for c in self.chunks if len(text) >= 2 * c[0]), (len(text), least, most))
+        n = outside = bytes_outside = 0
+        for at in range(0, len(text), chunk):
+            start = min(at, len(text) - chunk)  # the last chunk ends with the text
+            r = chunk / len(self.size(text[start : start + chunk])) if chunk < len(text) else ratio
+            n += 1
+            if not low <= r <= high:
+                outside, bytes_outside = outside + 1, bytes_outside + min(chunk, len(text) - at)
+        return ratio, n, outside, least <= ratio <= most and bytes_outside <= self.share * len(text)
 
 
 def scored(docs: DataFrame, **limits) -> DataFrame:

@@ -61,3 +61,33 @@ def test_rows(spark):
     assert got.schema == docs.schema
     assert sorted((r.doc_id is None, r.doc_id) for r in got.collect()) == sorted((r.doc_id is None, r.doc_id) for r in rows if r.kept)
     assert quality.scored(docs.limit(0)).count() == 0 and quality.accepted(docs.limit(0)).count() == 0
+
+
+def test_chunks_of_every_length():
+    rng = random.Random(5)
+    syllables = ["ta", "ro", "mi", "len", "ka", "shu", "dor", "vi", "pel", "no", "est", "and", "qu", "ir"]
+    words = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(400)]
+    prose = " ".join(rng.choice(words) for _ in range(3000)).encode()
+    noise = bytes(rng.randrange(33, 256) for _ in range(9000))
+    same = b"same words again and " * 400
+    bands = quality.Bands(bands=((0, 0.0, 99.0),), chunk_band=(1.3, 2.6), short=((128, 0.98, 1.7), (256, 1.1, 1.9), (512, 1.25, 2.2), (1024, 1.3, 2.4)))
+    for n in (256, 300, 511, 700, 1100, 2047, 2048, 4095, 4096, 5000, 6100, 8191, 9000):
+        assert bands(prose[:n])[3], n
+        for bad in (noise, same):
+            if n >= 1100 or bad is noise:
+                assert not bands(prose[: n // 2] + bad[: n - n // 2])[3], n
+    # The remainder after two whole chunks is read; each chunk's bytes count once.
+    assert bands(prose[:4096] + noise[:1900])[1:] == (3, 1, False)
+    assert bands(prose[:4096] + noise[:100])[3]
+    assert not bands(noise[:2048] + prose[: 2 * 2048 + 2047])[3]
+    assert bands(prose[:200])[1:] == (1, 0, True) and bands(b"") == (1.0, 0, 0, True)
+
+
+def test_short_texts_are_read_in_chunks():
+    rng = random.Random(8)
+    letters = "etaoinshrdlu"
+    prose = " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(400)).encode()
+    noise = bytes(rng.randrange(33, 256) for _ in range(1500))
+    least, most = next(b[1:] for b in reversed(quality.BANDS) if b[0] <= 3500)
+    ratio, n, outside, passes = quality.Bands()(b"same words again " * 70 + noise + prose[:800])
+    assert least <= ratio <= most and n == 4 and outside > 1 and not passes
