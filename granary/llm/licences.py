@@ -1,8 +1,8 @@
 """Operator 8: licence scans by sentence rules.
 
 Texts are cut into sentences, each is normalised (lower case, runs of anything
-else than letters and digits to one space), known sentences are mapped to
-identifiers, and the sequence of a document's identifiers is matched against
+else than letters and digits to one space), known sentences, wrapped over lines or
+not, are mapped to identifiers, and the sequence of a document's identifiers is matched against
 ordered licence rules. A rule that matches takes its identifiers out of the
 sequence, so a longer rule tried first keeps its parts from matching a shorter one.
 """
@@ -68,20 +68,42 @@ RULES = (
 HINT = "(?i)licen[sc]e|permission|redistribution|this software is provided|the software is provided|neither the name|this program is free|copyright|all rights reserved"
 
 
+#: Known sentences at a line's start, first match wins; words may stand on several lines.
+_AT = "(?m)^(?=(" + "|".join(p.removeprefix("^").replace(".+", r"[^\n]+" if name == "spdx" else r"[\s\S]+?").replace(" ", r"[ \n]") for name, p in SENTENCES) + "))"
+
+
 def sentences(text: Column) -> Column:
-    """Normalised sentences: pieces between line feeds, or after . ! ? ; and white space."""
-    pieces = F.split(F.regexp_replace(text, r"[.!?;][ \t\r\n]+", "\n"), "\n")
-    return F.transform(pieces, lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " ")))
+    """Normalised sentences: pieces between blank lines, or after . ! ? and white space.
+
+    A line feed stands where a line or a part after a semicolon begins. A line is
+    blank without letters and digits, so comment marks go with the other signs.
+    """
+    ends = F.regexp_replace(F.regexp_replace(text, r"[.!?][ \t\r\n]+", "\n\n"), r";[ \t\r]++(?!\n)", "\n")
+    plain = F.regexp_replace(F.lower(ends), r"[^\p{L}\p{N}\n]+", " ")
+    pieces = F.split(F.regexp_replace(plain, r"(?m)^ ?(?:dnl|rem)(?: |$)", ""), r"\n[ \n]*\n")
+    return F.transform(pieces, lambda s: F.trim(F.regexp_replace(s, r" ?\n ?", "\n"), F.lit(" \n")))
 
 
 def identifiers(text: Column) -> Column:
-    """Identifiers of the known sentences of a text, in order."""
+    """Identifiers of the known sentences of a text, in order.
+
+    A sentence is known from its own start or from that of one of its lines, and read
+    on over line feeds, so wrapped lines are joined and lines that stand alone count.
+    """
 
     def name(s: Column) -> Column:
         return reduce(lambda rest, rule: F.when(s.rlike(rule[1]), F.lit(rule[0])).otherwise(rest), reversed(SENTENCES), F.lit(None).cast("string"))
 
-    found = F.filter(F.transform(F.filter(sentences(text), lambda s: F.concat_ws("", F.lit(""), s).rlike("licen[sc]|permission|redistrib|provided|neither|free software|copyright|reserved")), name), lambda i: i.isNotNull())
-    return F.when(text.rlike(HINT), found).otherwise(F.array().cast("array<string>"))
+    hinted = F.filter(sentences(text), lambda s: F.concat_ws("", F.lit(""), s).rlike("licen[sc]|permission|redistrib|provided|neither|free[ \n]software|copyright|reserved"))
+
+    def known(s: Column) -> Column:
+        found = F.regexp_extract_all(s, F.lit(_AT), F.lit(1))
+        # "is licensed under" on two lines would be found from both.
+        before = F.concat(F.array(F.lit("")), found)
+        return F.filter(found, lambda x, i: ~F.endswith(F.get(before, i), F.concat(F.lit("\n"), x)))
+
+    found = F.transform(F.flatten(F.transform(hinted, known)), lambda s: name(F.translate(s, "\n", " ")))
+    return F.when(text.rlike(HINT.replace(" ", r"\W+")), found).otherwise(F.array().cast("array<string>"))
 
 
 def scan(docs: DataFrame) -> DataFrame:

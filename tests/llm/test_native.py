@@ -178,3 +178,62 @@ def test_licences(spark):
         9: (1, "GPL", ""), 10: (4, "Apache-2.0,MIT", ""), None: (1, "MIT", ""),
     }
     assert licences.scan(docs.limit(0)).count() == 0
+
+
+WRAPPED_MIT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
+WRAPPED_BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+WRAPPED_GPL = """This program is free software{} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+
+
+def test_wrapped_licences(spark):
+    bsd2 = WRAPPED_BSD[: WRAPPED_BSD.index("3. ")] + WRAPPED_BSD[WRAPPED_BSD.index("THIS") :]
+    marked = lambda text, mark: "\n".join(f"{mark} {x}".rstrip() for x in text.split("\n"))
+    narrow = lambda text: "\r\n\r\n".join("\r\n".join(p.split()) for p in text.split("\n\n"))
+    texts = {
+        1: WRAPPED_MIT, 2: WRAPPED_BSD, 3: bsd2, 4: WRAPPED_GPL.format(":"), 5: WRAPPED_GPL.format(";"),
+        6: f"/*\n{marked(WRAPPED_MIT, ' *')}\n */\nint x;", 7: marked(WRAPPED_BSD, "#"), 8: marked(bsd2, "//"), 9: marked(WRAPPED_GPL.format(";"), "dnl"), 10: narrow(WRAPPED_BSD),
+        11: "SPDX-License-Identifier: MIT\nThis program is\nlicensed under the Apache\nLicense, Version 2.0\nYou may obtain a copy of\nthe License at\nhttp://x",
+        13: WRAPPED_GPL.format(";").replace("can ", "").replace("; ", ";\r\n").replace("you ", "you can "), 12: "Permission is hereby granted, free of charge, to any person\n\nobtaining a copy of this software",
+    }
+    got = {r.doc_id: (r.sentence_ids, r.licences) for r in licences.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    mit, two = "copyright,mitGrant,mitNotice,mitWarranty", "bsdGrant,bsdSource,bsdBinary,bsdWarranty"
+    three = two.replace("bsdWarranty", "bsdNames,bsdWarranty")
+    assert got == {
+        1: (mit, "MIT"), 2: (three, "BSD-3-Clause"), 3: (two, "BSD-2-Clause"), 4: ("gplFree", "GPL"), 5: ("gplFree", "GPL"), 6: (mit, "MIT"), 7: (three, "BSD-3-Clause"), 8: (two, "BSD-2-Clause"), 9: ("gplFree", "GPL"), 10: (three, "BSD-3-Clause"),
+        11: ("spdx,apacheRef,apacheObtain", "Apache-2.0,SPDX"), 12: ("", ""), 13: ("gplFree", "GPL"),
+    }
+    long = "this work\n" * 20000 + "\n" * 100_000 + "-" * 100_000 + "\nReleased under\nthe MIT License"
+    assert licences.scan(spark.createDataFrame([(1, long)], "doc_id long, text string")).first().licences == "MIT"
