@@ -56,6 +56,13 @@ HIDDEN = re.compile(
     rf"|(?<!\S)(?:[^\W\d_]|[{_LOOK}])(?:[ .\-_*~]{{1,2}}(?:[^\W\d_]|[{_LOOK}])){{2,}}(?![^\W_])"
     r"|(?<![^\W\d_])[^\W\d_]++(?:[.\-_*~][^\W\d_]++)++"
 )
+#: Runs of letters and look-alikes with at least one of each, and such or plain runs
+#: joined by any number of separators.
+_SIGN = rf"(?:[^\W\d_]|[{_LOOK}])"
+MIXED = re.compile(rf"(?<![^\W_])(?<![{_LOOK}])(?=[^\W\d_]*+[{_LOOK}])(?=[{_LOOK}]*+[^\W\d_]){_SIGN}++")
+JOINED = re.compile(rf"(?<![^\W_])(?<![{_LOOK}.\-_*~])(?=[{_LOOK}.\-_*~]*+[^\W\d_]){_SIGN}++(?:[.\-_*~]++{_SIGN}++)++")
+#: Look-alikes that also stand around words as signs.
+MARKS = "".join(c for c in LOOKALIKES if not c.isalnum())
 STRETCHED = re.compile(r"([^\W\d_])\1\1")
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
@@ -95,12 +102,29 @@ class Channel:
                 self.memo[chunk] = got
         return got
 
-    def best(self, chunk: str) -> str:
+    def restored(self, chunk: str) -> set[str]:
+        """Words that :meth:`decode` finds with or without the marks on either side of a
+        chunk, and the one with signs at its ends dropped where that is better."""
+        left, right = chunk.lstrip(MARKS), chunk.rstrip(MARKS)
+        out = {w for c in {chunk, left, right, left.rstrip(MARKS)} if c for w in self.decode(c)}
+        if not (chunk[0].isalpha() and chunk[-1].isalpha()):
+            key = f"\n{chunk}"
+            got = self.memo.get(key)
+            if got is None:
+                got = (self.best(chunk, edges=True),)
+                if len(self.memo) < 100_000 and len(chunk) < 64:
+                    self.memo[key] = got
+            out.update(w for w in got if w)
+        return out
+
+    def best(self, chunk: str, edges: bool = False) -> str:
+        """Best reading of a chunk; with ``edges``, signs before its first and after its last letter can be dropped."""
+        final = max((i for i, c in enumerate(chunk) if c.isalpha()), default=-1) if edges else len(chunk)
         # state: last two letter codes -> (score, text so far as a linked list)
         log = self.log
         states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         before = ""
-        for c in chunk:
+        for i, c in enumerate(chunk):
             new: dict[tuple[int, int], tuple[float, tuple]] = {}
             readings = [(c, 0.0)] if c.isalpha() else [(x, SWAP) for x in LOOKALIKES.get(c, "")]
             for (a, b), (score, path) in states.items():
@@ -114,6 +138,10 @@ class Channel:
                     s = score + (REPEAT if readings else DROP)
                     if (a, b) not in new or s > new[a, b][0]:
                         new[a, b] = (s, path)
+                elif edges and not c.isalpha() and (i > final or not path):
+                    s = score + DROP
+                    if (a, b) not in new or s > new[a, b][0]:
+                        new[a, b] = (s, path)
             states, before = new, c
         _, path = max(((s + log[a][b][0], p) for (a, b), (s, p) in states.items()), key=lambda x: x[0])
         out = []
@@ -131,6 +159,9 @@ class Channel:
         stems = [f"{stem}*" for stem, n in Counter([w[:STEM] for w in words]).items() if n >= least and len(stem) == STEM]
         for m in HIDDEN.finditer(text):
             out.update(self.decode(m[0]))
+        for pattern in (MIXED, JOINED):
+            for m in pattern.finditer(text):
+                out.update(self.restored(m[0]))
         if STRETCHED.search(text):
             for w in [w for w in out if STRETCHED.search(w)]:
                 out.update(self.decode(w))

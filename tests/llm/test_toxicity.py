@@ -108,3 +108,15 @@ def test_long_words_take_linear_time():
     channel = tox.Channel(np.ones(tox.CODES**3), ["idiot"])
     for text in ("ab" * 200_000, "1" * 200_000, "a1" * 100_000, "a b " * 60_000 + "cc", "a." * 60_000 + "bb", "aaa" * 50_000):
         channel.features(text)
+
+
+def test_look_alikes_at_the_end_and_after_signs():
+    words = ["whore", "ass", "dyke", "shit", "idiot"]
+    channel = tox.Channel(np.ones(tox.CODES**3), words)
+    for text, word in [
+        ("a whor3 b", "whore"), ("a55", "ass"), ("an a$$, so", "ass"), ("dyk3", "dyke"), ('say "sh1t" now', "shit"), ("f-1d1ot", "idiot"), ("x/1d1ot", "idiot"), ("(sh1t)", "shit"), ("(a$$)", "ass"),
+        ("sh1t!", "shit"), ("1diot!!", "idiot"), ("id**iot", "idiot"), ("id--1ot", "idiot"), ("f**k", "fk"), ('"5id.iot"', "idiot"),
+    ]:
+        assert word in channel.features(text), text
+    for text in ("a!" * 60_000, "(" * 100_000 + "a", "a" + "!" * 100_000, "a--" * 60_000 + "b", "1-" * 100_000, "--1" * 100_000):
+        channel.features(text)
