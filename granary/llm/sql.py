@@ -32,6 +32,7 @@ FROM s LEFT JOIN c USING (doc_id)
 
 
 def line_dedup_sql(min_words: int = line_dedup.MIN_WORDS) -> str:
+    """Maximal matches of all pairs of positions: equal lines on one diagonal without a gap."""
     return rf"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS value, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line
@@ -39,14 +40,16 @@ WITH l AS (
 ), k AS (
   SELECT *, len(regexp_extract_all(value, '{line_dedup.WORD}')) AS words FROM l
 ), p AS (
-  SELECT *, CAST(sum(words) OVER (PARTITION BY doc_id ORDER BY line) - words AS BIGINT) AS start FROM k WHERE words > 0
-), w AS (
-  SELECT doc_id, line AS first, start, sum(words) OVER (PARTITION BY doc_id) AS total, max(line) OVER a AS last, list(value) OVER a AS lines
-  FROM p WINDOW a AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND {min_words - 1} FOLLOWING)
-), q AS (
-  SELECT *, row_number() OVER (PARTITION BY lines ORDER BY doc_id, first) AS nth FROM w WHERE total >= start + {min_words}
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS r FROM k WHERE words > 0
+), pairs AS (
+  SELECT b.doc_id, a.doc_id AS source, b.r - a.r AS shift, b.r, b.line, b.words
+  FROM p a JOIN p b ON a.value = b.value AND (a.doc_id < b.doc_id OR a.doc_id = b.doc_id AND a.line < b.line)
+), islands AS (
+  SELECT *, r - row_number() OVER (PARTITION BY doc_id, source, shift ORDER BY r) AS island FROM pairs
+), matches AS (
+  SELECT doc_id, min(line) AS first, max(line) AS last FROM islands GROUP BY doc_id, source, shift, island HAVING sum(words) >= {min_words}
 ), gone AS (
-  SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS line FROM q WHERE nth > 1
+  SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS line FROM (SELECT DISTINCT doc_id, first, last FROM matches)
 ), marked AS (
   SELECT l.doc_id, l.line, l.value, g.line IS NOT NULL AS gone FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line = g.line
 ), runs AS (

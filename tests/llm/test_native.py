@@ -15,28 +15,28 @@ def n_words(line):
 
 
 def brute_dedup(texts, least):
-    """texts: [(id, text)] in order; returns the texts left, deleted lines."""
-    seen, out = set(), []
-    windows = []
-    for d, (_, text) in enumerate(texts):
-        if text is None:
-            continue
-        lines = [(i, x, n_words(x)) for i, x in enumerate(text.split("\n")) if n_words(x)]
-        for s in range(len(lines)):
-            total, e = 0, s
-            while e < len(lines) and total < least:
-                total += lines[e][2]
-                e += 1
-            if total >= least:
-                windows.append((d, lines[s][0], lines[e - 1][0], tuple(x[1] for x in lines[s:e])))
-    gone = {}
-    for d, a, b, content in windows:
-        if content in seen:
-            gone.setdefault(d, set()).update(range(a, b + 1))
-        seen.add(content)
-    for d, (_, text) in enumerate(texts):
-        out.append(None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone.get(d, ())))
-    return out, [len(gone.get(d, ())) for d in range(len(texts))]
+    """texts: [(id, text)] in order; returns the texts left and the deleted lines of each.
+
+    From maximal matches: two positions with equal lines are extended both ways over
+    equal lines (blank ones left out); of ``least`` words or more, the later one goes.
+    """
+    lines = [(d, i, x, n_words(x)) for d, (_, text) in enumerate(texts) for i, x in enumerate((text or "").split("\n")) if n_words(x)]
+    at, gone = {}, {}
+    for k, (_, _, x, _) in enumerate(lines):
+        at.setdefault(x, []).append(k)
+    same = lambda j, k: 0 <= j < len(lines) and 0 <= k < len(lines) and lines[j][2] == lines[k][2]
+    for places in at.values():
+        for y, k in enumerate(places):
+            for j in places[:y]:
+                low = high = 0
+                while same(j + low - 1, k + low - 1) and lines[j + low - 1][0] == lines[j][0] and lines[k + low - 1][0] == lines[k][0]:
+                    low -= 1
+                while same(j + high + 1, k + high + 1) and lines[j + high + 1][0] == lines[j][0] and lines[k + high + 1][0] == lines[k][0]:
+                    high += 1
+                if sum(x[3] for x in lines[k + low : k + high + 1]) >= least:
+                    gone.setdefault(lines[k][0], set()).update(range(lines[k + low][1], lines[k + high][1] + 1))
+    left = [None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(d, ())) for d, (_, t) in enumerate(texts)]
+    return left, [len(gone.get(d, ())) for d in range(len(texts))]
 
 
 def test_line_dedup(spark):
@@ -63,22 +63,6 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(docs.limit(0)).count() == 0
 
 
-def brute_maximal(texts, least):
-    """As brute_dedup, but of all runs of ``least`` words or more, of any length."""
-    seen, gone = set(), {}
-    for d, (_, text) in enumerate(texts):
-        lines = [(i, x, n_words(x)) for i, x in enumerate((text or "").split("\n")) if n_words(x)]
-        for s in range(len(lines)):
-            total, content = 0, ()
-            for i, x, n in lines[s:]:
-                total, content = total + n, (*content, x)
-                if total >= least and content in seen:
-                    gone.setdefault(d, set()).update(range(lines[s][0], i + 1))
-                elif total >= least:
-                    seen.add(content)
-    return [None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(d, ())) for d, (_, t) in enumerate(texts)]
-
-
 def test_line_dedup_of_maximal_runs(spark):
     long, other, tail = " ".join(f"l{i}" for i in range(60)), " ".join(f"o{i}" for i in range(55)), ["one two", "three", "four five six"]
     # The earliest place of the long line has no tail, a later one has; long lines with a blank between them.
@@ -91,9 +75,15 @@ def test_line_dedup_of_maximal_runs(spark):
     texts += [(100, None), (101, ""), (102, "same line of words\n" * 30)]
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
     for least in (1, 10, 50):
-        got = {r.doc_id: r.text for r in line_dedup.line_dedup(docs, least, maximal=True).collect()}
-        assert got == {i: t for (i, _), t in zip(texts, brute_maximal(texts, least), strict=True)}
+        got = {r.doc_id: r.text for r in line_dedup.line_dedup(docs, least).collect()}
+        assert got == {i: t for (i, _), t in zip(texts, brute_dedup(texts, least)[0], strict=True)}
     assert (got[3], got[5]) == ("x", "a\none two")
+    # A run of a line of 60 words and one of 5: both lines go where they stand together again.
+    five = "five more words in here"
+    two = spark.createDataFrame([(1, f"{long}\n{five}\nend"), (2, f"own\n{long}\n{five}"), (3, f"{five}\n{long}")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.line_dedup(two).collect()} == {1: f"{long}\n{five}\nend", 2: "own", 3: five}
+    clash = docs.select("doc_id", "text", F.lit(7).alias("n_runs"), F.lit("x").alias("runs"), F.lit(1).alias("n.lines"))
+    assert line_dedup.without_repeats(clash).columns == clash.columns and {r[2:] for r in line_dedup.without_repeats(clash).collect()} == {(7, "x", 1)}
 
 
 def lanes(text):
