@@ -27,7 +27,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: later repeats of runs of lines with 50 words or more go from the texts, whole."""
-    return _measured(line_dedup.line_dedup(docs, maximal=True), docs.columns)
+    return _measured(line_dedup.without_repeats(docs), docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
