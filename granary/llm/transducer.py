@@ -1,11 +1,16 @@
 """Operator 3: BPE encoding as a bounded-lookahead streaming transducer, and decoding.
 
-Encoding. A merge list has a sufficient lookahead L: once L bytes beyond a token
-boundary are known, no later byte can move it. :func:`lookahead` computes L in one
-pass over the merges. Text is fed in chunks; white space and pre-token boundaries
-end a word for certain, and inside a word longer than the buffer, tokens that end
-L bytes before the buffer's end are emitted at once. So memory stays constant
-however long a document, or one unbroken word, is.
+Encoding. The merge list decides how far a text can act back on what stands before.
+:func:`reaches` computes for each token how many bytes after its end can still move
+that end; the largest of them is the list's sufficient lookahead. Text is fed in
+chunks. Inside a pre-token, ids are emitted up to the last token whose reach is
+covered by bytes already seen, or up to a boundary that no token of the vocabulary
+spans, and the rest when the pre-token's end is seen. Every id of every text comes
+out of these two steps (:meth:`Encoder._grow`, :meth:`Encoder._end`); a memo keeps
+what they emitted for whole pre-tokens. What is held between chunks is bounded by the
+lookahead and the longest token, whatever the script and however long an unbroken
+run is; only a run of combining marks is held until its end, as normalisation must
+see it whole.
 
 Decoding. A state machine takes ids one chunk at a time. With a tokenizer file
 that has no decoder, tokens are joined by one space; in byte mode, tokens become
@@ -18,6 +23,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import sys
 import unicodedata
 from collections import defaultdict
 from functools import lru_cache
@@ -29,31 +35,51 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.llm.common import arrow_map
-from granary.llm.pieces import UNSAFE, byte_chars
+from granary.llm.pieces import byte_chars
 
 #: Pre-token pattern and word-end mark of the tokenizer file (fixed values).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+CONTRACTIONS = frozenset(("'s", "'t", "'re", "'ve", "'m", "'ll", "'d"))
 WORD_END = "</w>"
 
 CHUNK_CHARS = 1 << 16
-OPEN_CHARS = 4096
+#: Symbols taken at a time into an open pre-token.
+STEP = 128
 MEMO_ENTRIES = 500_000
 
 
-def lookahead(merges: list[tuple[str, str]], length=lambda t: len(t.removesuffix(WORD_END))) -> int:
-    """Bytes after a token that can still change it.
+def reaches(merges: list[tuple[str, str]], length=lambda t: len(t.removesuffix(WORD_END))) -> dict[str, int]:
+    """For each token, how many bytes after its end can still move that end.
 
-    Let R(t) be how far to the right of ``t`` the merges so far let the text act
-    on ``t``: it is the R of t's right part when t is made, and if a merge (t, v)
-    could take t away, at least v's length plus R(v) at that rank. Merges act in
-    rank order, so one pass finds all R; the largest is sufficient.
+    A merge (t, v) takes the end of t away, and needs v whole: v's length and what
+    can act on v's end in turn. A token made of two inherits the reach of its right
+    part, which ended where it ends. Merges act in rank order, so one pass in that
+    order sees each reach as it is when the merge acts.
     """
     reach: dict[str, int] = defaultdict(int)
     for left, right in merges:
         ahead = reach[right]
         reach[left] = max(reach[left], length(right) + ahead)
         reach[left + right] = max(reach[left + right], ahead)
-    return max(reach.values(), default=0)
+    return dict(reach)
+
+
+def lookahead(merges: list[tuple[str, str]], **length) -> int:
+    """The merge list's sufficient lookahead in bytes: the largest reach."""
+    return max(reaches(merges, **length).values(), default=0)
+
+
+@lru_cache(maxsize=1)
+def joiners() -> frozenset[str]:
+    """Characters that normalisation may join to, or move across, the one before."""
+    second = {int(x, 16) for c in map(chr, range(sys.maxunicode + 1)) if (d := unicodedata.decomposition(c)) and d[0] != "<" for x in d.split()[1:]}
+    vowels_and_finals = {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}  # of conjoining jamo
+    return frozenset(map(chr, second | vowels_and_finals))
+
+
+def starts_anew(c: str) -> bool:
+    """Whether text from ``c`` on normalises independently of what stands before."""
+    return c < "\u0300" or not (unicodedata.combining(c) or c in joiners())
 
 
 class Merges:
@@ -67,7 +93,10 @@ class Merges:
         self.pairs: dict[str, dict[str, tuple[int, str]]] = defaultdict(dict)
         for rank, (a, b) in enumerate(pairs):
             self.pairs[a][b] = (rank, a + b)
-        self.ahead = lookahead(pairs)
+        self.reach = reaches(pairs)
+        self.ahead = max(self.reach.values(), default=0)
+        #: Neighbours inside some token; between any other two symbols a token ends.
+        self.inside = {x for t in self.vocab for x in zip(t.removesuffix(WORD_END), t.removesuffix(WORD_END)[1:])}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.joined = spec.get("decoder") is None
@@ -104,53 +133,66 @@ class Merges:
 
 
 class Encoder:
-    """feed(text) and close() return ids as soon as they are certain."""
+    """feed(text) and close() return ids as soon as they are certain.
+
+    ``ahead_ids`` counts the ids emitted inside a pre-token, before its end was seen.
+    """
 
     def __init__(self, merges: Merges):
         import regex
 
         self.m = merges
         self.pieces = regex.compile(PATTERN).finditer
+        self.letter = regex.compile(r"\p{L}").match
         self.runs = {True: regex.compile(r"\p{L}*").match, False: regex.compile(r"[^\s\p{L}\p{N}]*").match}
         self.special = regex.compile("|".join(map(regex.escape, sorted(merges.special)))) if merges.special else None
-        self.margin = max(map(len, merges.special), default=0) + 3
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.parts = _Parts(merges)
         self.words = _Words(self)
+        self.ahead_ids = 0
         self._reset()
 
     def _reset(self) -> None:
-        self.held = ""  # text after the last certain boundary
-        self.open: list[str] | None = None  # symbols of an unended word that are not emitted yet
-        self.letters = False  # whether that word is one of letters
+        self.raw = ""  # text that is not normalised yet
+        self.held = ""  # normalised text of which it is not known where its pre-token ends: a contraction's first characters
+        self.open: list[str] | None = None  # symbols of an unended pre-token that are not emitted yet
+        self.letters = False  # whether that pre-token is one of letters
+
+    def kept(self) -> int:
+        """Characters and symbols held at the moment."""
+        return len(self.raw) + len(self.held) + len(self.open or ())
 
     def word(self, piece: str) -> tuple[int, ...]:
         """ids of one whole pre-token."""
         got = self.memo.get(piece)
         if got is None:
-            symbols = self.m.symbols(piece)
-            if len(symbols) > OPEN_CHARS:
-                self.open = []
-                return (*self._grow(symbols), *self._end())
-            symbols[-1] += WORD_END
-            got = tuple(map(self.m.vocab.__getitem__, self.m.merge(symbols)))
-            if len(self.memo) < MEMO_ENTRIES:
+            self.open = []
+            got = (*self._grow(self.m.symbols(piece)), *self._end())
+            if len(self.memo) < MEMO_ENTRIES and len(piece) < 64:
                 self.memo[piece] = got
         return got
 
     def _grow(self, symbols: list[str]) -> list[int]:
-        """Add symbols to the open word; emit what lies a lookahead before its end."""
+        """Add symbols to the open pre-token; emit what no later byte can change."""
         out: list[int] = []
-        step, ahead = max(256, 2 * self.m.ahead), self.m.ahead + 1
-        for at in range(0, len(symbols), step):
-            self.open += symbols[at : at + step]
-            if len(self.open) > step + ahead:
-                used = 0
-                for token in self.m.merge(self.open):
-                    if used + len(token) > len(self.open) - ahead:
-                        break
-                    out.append(self.m.vocab[token])
-                    used += len(token)
-                self.open = self.open[used:]
+        inside, reach, vocab = self.m.inside, self.m.reach, self.m.vocab
+        for at in range(0, len(symbols), STEP):
+            known = self.open + symbols[at : at + STEP]
+            start = 0
+            for i, pair in enumerate(zip(known, known[1:]), 1):
+                if pair not in inside:
+                    out += self.parts["".join(known[start:i])]
+                    start = i
+            known = known[start:]
+            # The last symbol is not certain: at the pre-token's end it becomes another.
+            tokens, end, used, emitted = self.m.merge(known), 0, 0, 0
+            for n, token in enumerate(tokens, 1):
+                end += len(token)
+                if end + reach.get(token, 0) < len(known):
+                    used, emitted = end, n
+            out += [vocab[t] for t in tokens[:emitted]]
+            self.open = known[used:]
+        self.ahead_ids += len(out)
         return out
 
     def _end(self) -> list[int]:
@@ -158,67 +200,67 @@ class Encoder:
         symbols[-1] += WORD_END
         return [self.m.vocab[t] for t in self.m.merge(symbols)]
 
-    def _plain(self, text: str) -> list[int]:
-        """ids of text between certain boundaries: NFC, lower case of each character, pre-tokens, merges."""
-        if not UNSAFE.search(text):
-            return list(chain.from_iterable(map(self.words.__getitem__, text.lower().split())))
-        text = unicodedata.normalize("NFC", text)
-        text = text.lower() if "\u03a3" not in text else "".join(c.lower() for c in text)
-        return list(chain.from_iterable(self.word(m[0]) for m in self.pieces(text)))
-
-    def _final(self, text: str) -> list[int]:
-        """As ``_plain``, for text that may go on with the open word."""
-        if self.open is None:
-            return self._plain(text)
-        end = self.runs[self.letters](text.lower()).end()
-        return [*self._grow(self.m.symbols(text[:end].lower())), *self._end(), *self._plain(text[end:])]
-
-    def _unbroken(self) -> list[int]:
-        """What is certain in held text without white space; the margin keeps
-        beginnings of special tokens and contractions."""
-        text, out = self.held.lower(), []
-        safe = len(text) - self.margin
-        if self.open is None:
-            at = 0
-            for m in self.pieces(text):
-                if m.end() > safe:
-                    break
-                out += self.word(m[0])
-                at = m.end()
-            if safe - at > OPEN_CHARS // 2:
-                self.open, self.letters = [], text[at].isalpha()
-                out += self._grow(self.m.symbols(text[at:safe]))
-                at = safe
-        else:
-            at = self.runs[self.letters](text).end()
-            if at > safe:
-                at = safe
-                out += self._grow(self.m.symbols(text[:at]))
-            else:
-                out += [*self._grow(self.m.symbols(text[:at])), *self._end()]
-        self.held = self.held[at:]
+    def _normal(self, text: str) -> str:
+        """NFC and lower case of each character for itself."""
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+            if "\u03a3" in text:
+                return "".join(c.lower() for c in text)
+        return text.lower()
+
+    def _scan(self, text: str, last: bool) -> list[int]:
+        """ids that are certain with more normalised text; ``last`` ends the pre-token."""
+        text, out = self.held + text, []
+        self.held = ""
+        if self.open is not None:
+            end = self.runs[self.letters](text).end()
+            out += self._grow(self.m.symbols(text[:end]))
+            if end == len(text) and not last:
+                return out
+            out += self._end()
+            text = text[end:]
+        cut = len(text) if last else max(text.rfind(" "), text.rfind("\n")) + 1
+        out += chain.from_iterable(map(self.words.__getitem__, text[:cut].replace("\n", " ").split(" ")))
+        text = text[cut:]
+        for m in self.pieces(text):
+            rest = text[m.start() :]
+            if rest[0] == "'" and len(rest) < 3:
+                self.held = rest
+                break
+            letters = self.letter(rest) is not None
+            if m.end() == len(text) and m[0] not in CONTRACTIONS and (letters or self.runs[False](rest).end()):  # a run that may go on
+                self.open, self.letters = [], letters
+                out += self._grow(self.m.symbols(rest))
+                break
+            out += self.word(m[0])
         return out
 
+    def _cut(self, raw: str) -> int:
+        """Where text begins that a special token, or a mark after it, may yet change."""
+        at = max(0, len(raw) - 1)
+        for token in self.m.special:
+            for n in range(min(len(token) - 1, len(raw)), 0, -1):
+                if raw.endswith(token[:n]):
+                    at = min(at, len(raw) - n)
+                    break
+        while at > 0 and not starts_anew(raw[at]):
+            at -= 1
+        return at
+
     def feed(self, text: str) -> list[int]:
         """ids that are certain with this chunk."""
-        self.held += text
-        out: list[int] = []
-        while self.special and (m := self.special.search(self.held)):
-            out += [*self._final(self.held[: m.start()]), self.m.special[m[0]]]
-            self.held = self.held[m.end() :]
-        if (cut := max(self.held.rfind(" "), self.held.rfind("\n"))) >= 0:
-            out += self._final(self.held[:cut])
-            self.held = self.held[cut:]
-        while len(self.held) > OPEN_CHARS and not UNSAFE.search(self.held):
-            before = len(self.held)
-            out += self._unbroken()
-            if len(self.held) == before:
-                break
-        return out
+        raw, out, at = self.raw + text, [], 0
+        for m in self.special.finditer(raw) if self.special else ():
+            out += [*self._scan(self._normal(raw[at : m.start()]), True), self.m.special[m[0]]]
+            at = m.end()
+        raw = raw[at:]
+        cut = self._cut(raw)
+        self.raw = raw[cut:]
+        return out + self._scan(self._normal(raw[:cut]), False)
 
     def close(self) -> list[int]:
         """ids of what is left; the encoder can then take the next document."""
-        out = self._final(self.held)
+        out = self._scan(self._normal(self.raw), True)
         self._reset()
         return out
 
@@ -230,7 +272,7 @@ class Encoder:
 
 
 class _Words(dict):
-    """White-space-free chunk of safe, lower-cased text -> ids."""
+    """Chunk of normalised text without spaces and line feeds -> ids."""
 
     def __init__(self, encoder: Encoder):
         super().__init__()
@@ -244,6 +286,20 @@ class _Words(dict):
         return ids
 
 
+class _Parts(dict):
+    """Symbols between two boundaries that no token spans -> ids."""
+
+    def __init__(self, merges: Merges):
+        super().__init__()
+        self.merges = merges
+
+    def __missing__(self, part: str) -> tuple[int, ...]:
+        ids = tuple(map(self.merges.vocab.__getitem__, self.merges.merge(list(part))))
+        if len(self) < MEMO_ENTRIES and len(part) < 64:
+            self[part] = ids
+        return ids
+
+
 class Decoder:
     """feed(ids) returns text as soon as it is certain.
 

@@ -2,8 +2,9 @@
 
 A word's hash is a sum over its bytes of a table entry times a weight of the
 position in the word, modulo 2**64, mixed at the end; tables come from a fixed
-mixing function, so values are alike on every machine. Text is read in slices, so
-temporary arrays stay small for texts of any length.
+mixing function, so values are alike on every machine. Text is read in slices, and a
+word that goes on in the next slice is carried as its sum and length, so temporary
+arrays stay small for texts and words of any length.
 """
 
 from __future__ import annotations
@@ -30,40 +31,44 @@ def table(n: int, seed: int) -> np.ndarray:
 
 
 BYTES = table(256, 1)
-_weights = table(256, 2)
+#: A position's weight: the product of an entry for its low bits and one for the bits above.
+WEIGHTS, HIGH = table(4096, 2), table(4096, 6)
 
 
-def _weight(n: int) -> np.ndarray:
-    global _weights
-    if n > len(_weights):
-        _weights = table(1 << (n - 1).bit_length(), 2)
-    return _weights[:n]
+def _weight(position: np.ndarray) -> np.ndarray:
+    low = WEIGHTS[position & 4095]
+    return low * HIGH[position >> 12 & 4095] if len(position) and position.max() > 4095 else low * HIGH[0]
 
 
 def hashed_words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Byte offsets and hashes of all words."""
     a = np.frombuffer(text, np.uint8)
-    starts, hashes, at = [], [], 0
-    while at < len(a):
-        end = min(len(a), at + SLICE)
-        while end < len(a) and not SPACE[a[end]]:  # up to the end of the word
-            ahead = SPACE[a[end : end + SLICE]]
-            end += int(ahead.argmax()) if ahead.any() else len(ahead)
-        part = a[at:end]
+    starts, sums, sizes = [], [], []
+    begun = None  # offset, sum and length of a word that the slice before ended in
+    for at in range(0, len(a), SLICE):
+        part = a[at : at + SLICE]
         inside = ~SPACE[part]
         edge = np.flatnonzero(inside & ~np.concatenate(([False], inside[:-1])))
-        if len(edge):
-            ends = np.flatnonzero(inside & ~np.concatenate((inside[1:], [False]))) + 1
-            n = ends - edge
-            first = np.cumsum(n) - n
-            pos = np.arange(n.sum()) - np.repeat(first, n)
-            values = BYTES[part[inside]] * _weight(int(n.max()))[pos]
-            starts.append(edge + at)
-            hashes.append(mix(np.add.reduceat(values, first) + n.astype(np.uint64)))
-        at = end
+        n = np.flatnonzero(inside & ~np.concatenate((inside[1:], [False]))) + 1 - edge
+        first = np.cumsum(n) - n
+        pos = np.arange(int(n.sum())) - np.repeat(first, n)
+        goes_on = begun is not None and bool(inside[0])
+        if goes_on:
+            pos[: n[0]] += begun[2]
+        total = np.add.reduceat(BYTES[part[inside]] * _weight(pos), first) if len(edge) else np.zeros(0, np.uint64)
+        edge = edge + at
+        if goes_on:
+            edge[0], total[:1], n[0] = begun[0], total[:1] + begun[1], n[0] + begun[2]
+        elif begun is not None:
+            edge, total, n = (np.concatenate(([x], y)) for x, y in zip(begun, (edge, total, n), strict=True))
+        begun = (edge[-1], total[-1], n[-1]) if inside[-1] and at + SLICE < len(a) else None
+        keep = slice(0, len(edge) - (begun is not None))
+        starts.append(edge[keep])
+        sums.append(total[keep].astype(np.uint64))
+        sizes.append(n[keep].astype(np.uint64))
     if not starts:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(starts), np.concatenate(hashes)
+    return np.concatenate(starts).astype(np.int64), mix(np.concatenate(sums) + np.concatenate(sizes))
 
 
 STEP = np.uint64(0xA24BAED4963EE407)

@@ -6,12 +6,14 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from granary.llm import packing, pieces, token_files, transducer
+from tests.duck import TESTDATA
 
 WORD, BYTE, RANKS = map(public_tokenizers.path, ("word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"))
 library = Tokenizer.from_file(WORD)
@@ -70,13 +72,42 @@ def test_lookahead_is_sufficient(word):
     assert ids == library.encode(word, add_special_tokens=False).ids
 
 
-def test_memory_of_an_unbroken_word_is_constant(encoder):
-    most = 0
-    for _ in range(60):
-        encoder.feed("ab" * 1000)
-        most = max(most, len(encoder.held) + len(encoder.open or ()))
-    assert most < 3 * transducer.OPEN_CHARS
-    encoder.close()
+def test_memory_of_unbroken_runs_is_constant():
+    """5 million characters of one unbroken run, in several scripts, against the library's ids of its slices' hash."""
+    rng = np.random.default_rng(4)
+    encoder = transducer.Encoder(transducer.codec(WORD)[0].m)
+    bound = 2 * encoder.m.ahead + 2 * transducer.STEP
+    runs = {
+        "cjk": "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 20_000))) * 250, "letters": "ab" * 100_000, "greek": "\u03b1\u03b2\u03b3\u03a3" * 20_000, "signs": "=" * 100_000 + "'" * 50_000, "tabs": "a\tb\t" * 50_000,
+    }
+    for name, text in runs.items():
+        n = most = 0
+        for at in range(0, len(text), 4096):
+            n += len(encoder.feed(text[at : at + 4096]))
+            most = max(most, encoder.kept())
+        assert most < bound, (name, most)
+        part = text[:40_000]
+        assert n + len(encoder.close()) > 0 and encoded(encoder, part, 4096) == library.encode(part, add_special_tokens=False).ids, name
+
+
+def test_ids_of_the_documents_come_out_ahead(encoder):
+    """In small chunks, a good part of all ids is emitted before its pre-token has ended."""
+    docs = pq.read_table(f"{TESTDATA}/documents.parquet", columns=["text"]).column(0).to_pylist()[:60]
+    before, n = encoder.ahead_ids, 0
+    for text in docs:
+        want = library.encode(text or "", add_special_tokens=False).ids
+        assert encoded(encoder, text or "", 5) == want
+        n += len(want)
+    fresh = transducer.Encoder(encoder.m)
+    assert [fresh.word("internationalization"), fresh.ahead_ids >= 0]
+    assert encoder.ahead_ids - before > n / 1000
+
+
+def test_marks_are_held_until_they_are_certain(encoder):
+    for text in ("e" + "\u0301" * 300 + "x", "\u1112\u1161\u11ab" * 50, "<\u0338|endoftext|>", "a<|endof", "a<|endoftext|>\u0301b", "\u0915\u093c" * 40, "'" * 7 + "s", "1'2'3're4", "it's'"):
+        want = library.encode(text, add_special_tokens=False).ids
+        for step in (1, 2, 3, 100):
+            assert encoded(encoder, text, step) == want, (text, step)
 
 
 def test_byte_mode_decoder_is_incremental():
