@@ -67,40 +67,59 @@ FROM documents d LEFT JOIN texts t USING (doc_id)
 def multiset_hash_sql() -> str:
     m = multiset_hash
     number = lambda text, start, n: f"CAST('0x' || substr({text}, {start}, {n}) AS BIGINT)"
-
-    def lanes(text: str) -> str:
-        lines = f"string_split({text}, chr(10))"
-        sentences = f"string_split(replace({text}, '. ', chr(10)), chr(10))"
-        dense = f"list_transform(range({m.DENSE}), lambda i: CAST(list_sum(list_transform({lines}, lambda p: {number('sha256(p)', '1 + 8 * i', 8)})) % {1 << m.DENSE_BITS} AS BIGINT))"
-        placed = f"list_transform({sentences}, lambda s: md5(s))"
-        own = f"list_filter({placed}, lambda h: {number('h', 1, 4)} % {m.LANES} = k)"
-        lane = f"list_transform(range({m.LANES}), lambda k: CAST(coalesce(list_sum(list_transform({own}, lambda h: {number('h', 5, 4)})), 0) % {1 << m.LANE_BITS} AS BIGINT))"
-        return f"list_concat({dense}, {lane}, [CAST(len({sentences}) AS BIGINT)])"
-
-    def digits(lanes: str) -> str:
-        part = lambda start, n, width: f"list_aggregate(list_transform({lanes}[{start}:{start + n - 1}], lambda v: format('{{:0{width}x}}', v)), 'string_agg', '')"
-        return f"{part(1, m.DENSE, m.DENSE_BITS // 4)} || {part(1 + m.DENSE, m.LANES, m.LANE_BITS // 4)} || {part(1 + m.DENSE + m.LANES, 1, m.COUNT_BITS // 4)}"
-
-    def likeness(a: str, b: str) -> str:
-        first, last = 1 + m.DENSE, m.DENSE + m.LANES
-        differ = f"len(list_filter(range({first}, {last + 1}), lambda i: {a}[i] <> {b}[i]))"
-        total = f"CAST({a}[{last + 1}] + {b}[{last + 1}] AS DOUBLE)"
-        apart = f"(ln(CAST({m.LANES} - {differ} AS DOUBLE) / {m.LANES}) / ln(1 - CAST(1 AS DOUBLE) / {m.LANES}))"
-        return f"CASE WHEN {a} = {b} THEN 1.0::DOUBLE WHEN {differ} = {m.LANES} THEN 0.0::DOUBLE ELSE round(greatest(0.0::DOUBLE, ({total} - {apart}) / ({total} + {apart})), 6) END"
-
     return f"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text FROM documents
 ), n AS (
-  SELECT doc_id, text, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text FROM d WINDOW w AS (ORDER BY doc_id DESC, text)
+  SELECT doc_id, text, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id FROM d WINDOW w AS (ORDER BY doc_id DESC)
 ), e AS (
-  SELECT *, length(text) AS n_chars, substr(text, 1, length(text) - length(text) // 2) || substr(next_text, 1, length(text) // 2) AS edited FROM n
+  SELECT *, substr(text, 1, length(text) - length(text) // 2) || substr(next_text, 1, length(text) // 2) AS edited FROM n
+), t AS (
+  SELECT doc_id, 0 AS which, text FROM e UNION ALL SELECT doc_id, 1, edited FROM e
+), grid AS (
+  SELECT doc_id, which, l AS level, x AS lane FROM t, range({m.LEVELS}) AS a(l), range({m.LANES}) AS b(x)
+), p AS (
+  SELECT doc_id, which, unnest(string_split(text, chr(10))) AS p FROM t
+), digests AS (
+  SELECT doc_id, which, {" || ".join(f"sha256('{k}' || p)" for k in range(m.HALVES))} AS h FROM p
+), dense AS (
+  SELECT doc_id, which, string_agg(format('{{:0{m.DENSE_BITS // 4}x}}', v), '' ORDER BY i) AS digits
+  FROM (SELECT doc_id, which, i, CAST(sum({number("h", "1 + 8 * i", 8)}) % {1 << m.DENSE_BITS} AS BIGINT) AS v FROM digests, range({m.DENSE}) AS r(i) GROUP BY doc_id, which, i) GROUP BY doc_id, which
+), s AS (
+  SELECT doc_id, which, unnest(string_split(replace(text, '. ', chr(10)), chr(10))) AS s FROM t
+), placed AS (
+  SELECT doc_id, which, {number("md5(s)", 1, 12)} AS h, h % {m.LANES} AS lane, h // {m.LANES} % 255 + 1 AS value, h // {m.LANES * 255} % {1 << (m.LEVELS - 1)} AS code,
+         CASE WHEN code = 0 THEN {m.LEVELS - 1} ELSE {m.LEVELS - 1} - length(bin(code)) END AS level FROM s
+), counts AS (
+  SELECT doc_id, which, count(*) AS n FROM placed GROUP BY doc_id, which
+), sums AS (
+  SELECT doc_id, which, level, lane, sum(value) % 256 AS v FROM placed GROUP BY ALL
+), lanes AS (
+  SELECT g.doc_id, g.which, g.level, g.lane, CAST(coalesce(v, 0) AS BIGINT) AS v FROM grid g LEFT JOIN sums s ON g.doc_id = s.doc_id AND g.which = s.which AND g.level = s.level AND g.lane = s.lane
+), words AS (
+  SELECT doc_id, which, level, lane // {m.PACKED} AS word, CAST(sum(v * (1::BIGINT << CAST(8 * (lane % {m.PACKED}) AS INTEGER))) AS BIGINT) AS v FROM lanes GROUP BY ALL
+), strata AS (
+  SELECT doc_id, which, string_agg(format('{{:0{2 * m.PACKED}x}}', v), '' ORDER BY level, word) AS digits FROM words GROUP BY doc_id, which
 ), f AS (
-  SELECT doc_id, n_chars, edited, {lanes("text")} AS own, {lanes("edited")} AS changed, {lanes("next_text")} AS next FROM e
+  SELECT doc_id, which, dense.digits || strata.digits || format('{{:0{m.COUNT_BITS // 4}x}}', n) AS fingerprint, n FROM dense JOIN strata USING (doc_id, which) JOIN counts USING (doc_id, which)
+), sides AS (
+  SELECT doc_id, 1 AS side, doc_id AS other, 1 AS which FROM e UNION ALL SELECT doc_id, 0, next_id, 0 FROM e
+), differ AS (
+  SELECT x.doc_id, x.side, a.level, count(*) FILTER (WHERE a.v <> b.v) AS d
+  FROM sides x JOIN lanes a ON a.doc_id = x.doc_id AND a.which = 0 JOIN lanes b ON b.doc_id = x.other AND b.which = x.which AND a.level = b.level AND a.lane = b.lane
+  GROUP BY x.doc_id, x.side, a.level
+), firsts AS (
+  SELECT doc_id, side, least(max(CASE WHEN d > {m.FULL} THEN level + 1 ELSE 0 END), {m.LEVELS - 1}) AS first FROM differ GROUP BY doc_id, side
+), apart AS (
+  SELECT doc_id, side, sum(ln(1 - least(CAST(d AS DOUBLE), {m.LANES - 0.5}::DOUBLE) / {m.LANES}) / ln(1 - CAST(1 AS DOUBLE) / {m.LANES}) ORDER BY level) * pow(2.0::DOUBLE, any_value(first)) AS apart
+  FROM differ JOIN firsts USING (doc_id, side) WHERE level >= first GROUP BY doc_id, side
+), near AS (
+  SELECT x.doc_id, x.side, CASE WHEN a.fingerprint = b.fingerprint THEN 1.0::DOUBLE ELSE least(0.999999::DOUBLE, round(greatest(0.0::DOUBLE, (a.n + b.n - apart) / (a.n + b.n + apart)), 6)) END AS near
+  FROM sides x JOIN f a ON a.doc_id = x.doc_id AND a.which = 0 JOIN f b ON b.doc_id = x.other AND b.which = x.which JOIN apart p ON p.doc_id = x.doc_id AND p.side = x.side
 )
-SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, {digits("own")} AS fingerprint, {digits("changed")} AS edited_fingerprint,
-       {likeness("own", "changed")} AS near_edited, {likeness("own", "next")} AS near_next
-FROM f
+SELECT e.doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, own.fingerprint AS fingerprint, changed.fingerprint AS edited_fingerprint, x.near AS near_edited, y.near AS near_next
+FROM e JOIN f own ON own.doc_id = e.doc_id AND own.which = 0 JOIN f changed ON changed.doc_id = e.doc_id AND changed.which = 1
+JOIN near x ON x.doc_id = e.doc_id AND x.side = 1 JOIN near y ON y.doc_id = e.doc_id AND y.side = 0
 """
 
 

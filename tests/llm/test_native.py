@@ -87,21 +87,23 @@ def test_line_dedup_of_maximal_runs(spark):
 
 
 def lanes(text):
-    out = [0] * 73
+    dense, strata, n = [0] * 16, [[0] * 63 for _ in range(10)], 0
     for p in text.split("\n"):
-        d = hashlib.sha256(p.encode()).hexdigest()
-        for i in range(8):
-            out[i] = (out[i] + int(d[8 * i : 8 * i + 8], 16)) % 2**32
+        d = "".join(hashlib.sha256((k + p).encode()).hexdigest() for k in "01")
+        for i in range(16):
+            dense[i] = (dense[i] + int(d[8 * i : 8 * i + 8], 16)) % 2**32
         for s in p.replace(". ", "\n").split("\n"):
-            m = hashlib.md5(s.encode()).hexdigest()
-            k = 8 + int(m[:4], 16) % 64
-            out[k] = (out[k] + int(m[4:8], 16)) % 2**16
-            out[72] += 1
-    return out
+            h, lane = divmod(int(hashlib.md5(s.encode()).hexdigest()[:12], 16), 63)
+            h, value = divmod(h, 255)
+            level = 9 - (h % 512).bit_length()
+            strata[level][lane] = (strata[level][lane] + value + 1) % 256
+            n += 1
+    return dense, strata, n
 
 
 def hexed(v):
-    return "".join(f"{x:08x}" for x in v[:8]) + "".join(f"{x:04x}" for x in v[8:72]) + f"{v[72]:08x}"
+    dense, strata, n = v
+    return "".join(f"{x:08x}" for x in dense) + "".join(bytes(reversed(level[i : i + 7])).hex() for level in strata for i in range(0, 63, 7)) + f"{n:08x}"
 
 
 def test_fingerprints_and_edits(spark):
@@ -125,9 +127,11 @@ def test_fingerprints_and_edits(spark):
     one = multiset_hash.with_edits(docs.where("doc_id = 5")).first()
     assert one.near_next == 1
     assert multiset_hash.with_edits(docs.limit(0)).count() == 0
-    nulls = spark.createDataFrame([(None, "ab"), (3, "x\ny"), (3, "x\nz"), (3, "x\nz")], "doc_id long, text string")
+    nulls = spark.createDataFrame([(None, "ab"), (3, "x\ny"), (3, "x\nz"), (3, "x\nz"), (9, "abcd")], "doc_id long, text string")
     rows = sorted(multiset_hash.with_edits(nulls).collect(), key=str)
-    assert len(rows) == 4 and sum(r.near_next is None for r in rows) == 1
+    assert len(rows) == 5 and sum(r.near_next is None for r in rows) == 1
+    edited = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert sorted((str(r.doc_id), r.edited_sha256) for r in rows) == sorted([("None", edited("a")), ("3", edited("x\na")), ("3", edited("x\na")), ("3", edited("x\na")), ("9", edited("abx\n"))])
 
 
 def test_homomorphism_and_likeness(spark):
@@ -137,7 +141,23 @@ def test_homomorphism_and_likeness(spark):
     v = {c: multiset_hash.vector(F.col(c)) for c in "abcde"}
     r = df.select((v["a"] == v["b"]).alias("order"), (multiset_hash.added(v["c"], v["d"]) == v["a"]).alias("plus"), (multiset_hash.removed(v["a"], v["d"]) == v["c"]).alias("minus"), multiset_hash.likeness(v["a"], v["c"]).alias("third"), multiset_hash.likeness(v["c"], v["e"]).alias("near")).first()
     assert r.order and r.plus and r.minus
-    assert abs(r.third - 2 / 3) < 0.15 and r.near > 0.9
+    assert abs(r.third - 2 / 3) < 0.1 and r.near > 0.9
+
+
+def test_likeness_does_not_saturate(spark):
+    """Mean error below 0.1 whatever the length and the share of common sentences."""
+    rng = random.Random(3)
+    rows = []
+    for n in (30, 300, 1000, 5000):
+        for share in (0.0, 0.2, 0.33, 0.5, 0.8, 0.95):
+            for _ in range(4):
+                common = [f"c{rng.random()}" for _ in range(int(n * share))]
+                own, other = ([*common, *(f"o{rng.random()}" for _ in range(n - len(common)))] for _ in "ab")
+                rows.append((n, len(common) / (2 * n - len(common)), ". ".join(own), "\n".join(rng.sample(other, n))))
+    got = spark.createDataFrame(rows, "n int, want double, a string, b string").repartition(8)
+    near = multiset_hash.likeness(multiset_hash.vector(F.col("a")), multiset_hash.vector(F.col("b")))
+    got = got.select("n", F.abs(F.col("want") - near).alias("off")).groupBy("n").agg(F.avg("off").alias("mean"), F.max("off").alias("most")).collect()
+    assert all(r["mean"] < 0.05 and r.most < 0.2 for r in got), got
 
 
 def test_below(spark):
