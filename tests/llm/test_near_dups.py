@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from granary.llm import near_dups
 from granary.llm.components import components
@@ -95,11 +96,36 @@ def test_wide_bucket_of_unlinked_members(spark):
     assert len(set(want.values())) == 30
 
 
-def test_repeated_rows_and_empty_table(spark):
-    docs = spark.createDataFrame([(5, "a b c"), (5, "a b c"), (7, "a b c"), (7, "d e f g")], "doc_id long, text string")
-    got = sorted(near_dups.near_duplicates(docs, words=2).collect(), key=str)
-    assert [(r.doc_id, r.component_id) for r in got if r.doc_id == 5] == [(5, 5)] * 2
-    assert near_dups.near_duplicates(docs.limit(0)).count() == 0
+def test_repeated_ids_and_empty_table(spark):
+    """Rows that repeat a doc_id are documents of their own: brute force over rows."""
+    rng = random.Random(5)
+    base = [[f"v{k}_{rng.randrange(400)}" for _ in range(80)] for k in range(8)]
+    rows = [(5, "a b c"), (5, "a b c"), (7, "a b c"), (7, "d e f g"), (2, None), (2, ""), (None, "a b c")]
+    # 2 has a near copy of 1's text and a longer one unrelated to it; 3 is near that one.
+    for k, (i, j) in enumerate([(1, 0), (2, 0), (2, 1), (3, 1), (4, 2), (4, 3), (6, 3), (6, 2), (9, 4), (9, 4), (8, 5)]):
+        words = list(base[j]) if k % 2 == 0 else [w if x != k else f"new{k}" for x, w in enumerate(base[j])]
+        rows.append((i, " ".join(words + ["longer"] * (j == 1))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    _, where = brute({k: t for k, (i, t) in enumerate(rows) if i is not None}, 2)
+    name: dict[int, int] = {}
+    for k, root in where.items():
+        name[root] = min(name.get(root, rows[k][0]), rows[k][0])
+    want = sorted((i, name[where[k]]) for k, (i, _) in enumerate(rows) if i is not None)
+    got = near_dups.near_duplicates(docs, words=2).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id is not None) == want
+    assert {(1, 1), (2, 1), (2, 2), (3, 2), (4, 4), (6, 4), (7, 5), (7, 7)} <= set(want)
+    kept = near_dups.one_of_each(docs.withColumn("content", F.lit(1)), words=2)
+    assert kept.columns == ["doc_id", "text", "content"]
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect() if r.doc_id is not None) == sorted((i, t or "") for k, (i, t) in enumerate(rows) if i is not None and name[where[k]] == i)
+    assert near_dups.near_duplicates(docs.limit(0)).count() == 0 and near_dups.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_large_bucket_is_dealt_over_salts(spark, monkeypatch):
+    """The same links with buckets of more than one salt."""
+    monkeypatch.setattr(near_dups, "SALT_ROWS", 7)
+    monkeypatch.setattr(near_dups, "HUBS", 5)
+    monkeypatch.setattr(near_dups, "PROBES", (2,))
+    test_wide_bucket_of_unlinked_members(spark)
 
 
 @settings(max_examples=6, deadline=None)
