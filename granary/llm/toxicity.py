@@ -1,17 +1,18 @@
 """Operator 9: toxicity of deobfuscated text, by a noisy channel.
 
 Words hidden by look-alike characters, spacing, separators or repeated letters are
-restored before scoring. Each such chunk spans a lattice: a character stands for
+restored before scoring. Each suspicious chunk spans a lattice: a character stands for
 one of a few letters, a separator or a repeat may be dropped, each at a price. A
 Viterbi search finds the path of best price plus probability under a character
 trigram model, counted over all texts of the corpus and over the lexicon. The
-restored words and the plain ones are then scored by a logistic model.
+restored words stand beside the plain ones wherever features are made, and both are
+scored by a logistic model.
 
 Features are words, and beginnings of words that make up a noticeable share of a
-text, since some languages build a great many words on one stem. The lexicon (the
-features that go with the label) and the model are fitted on
-at most ``FIT_ROWS`` labelled rows outside the held-out part; labels enter nowhere
-else, and no other column but the text is read for a score.
+text, since some languages build a great many words on one stem. The lexicon (all
+features that go with the label and have enough rows) and the model are fitted on at
+most ``FIT_ROWS`` labelled rows outside the held-out part; labels enter nowhere else,
+and no other column but the text is read for a score.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from granary.llm.common import arrow_map
 
 #: Bound of the sample the classifier is fitted on, rows in order of a hash of doc_id.
 FIT_ROWS = 20_000
-#: Bound of the lexicon and the fewest labelled rows that support a word.
-LEXICON, LEAST_ROWS = 400, 4
+#: The fewest labelled rows that support a feature, and the least weight that stays for the last fit.
+LEAST_ROWS, LEAST_WEIGHT = 4, 0.05
 THRESHOLD = 0.3
 RIDGE = 0.2
 #: A word's beginning is a feature at this length, from two words and so many in a thousand on.
@@ -43,24 +44,27 @@ LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "¡": "i", "°": "o", "µ": "u",
 }
+#: Letters of other scripts that look like Latin ones, read so inside words with Latin letters.
+HOMOGLYPHS = {
+    "\u0430": "a", "\u0435": "e", "\u043e": "o", "\u0440": "p", "\u0441": "c", "\u0443": "y", "\u0445": "x", "\u0456": "i", "\u0455": "s", "\u0458": "j", "\u04bb": "h", "\u0501": "d",
+    "\u03b1": "a", "\u03b9": "i", "\u03bd": "v", "\u03bf": "o", "\u03c1": "p", "\u03c5": "u", "\u0131": "i",
+}
 SEPARATORS = " .-_*~'"
 #: Prices (natural logarithm) of standing for another letter, of a dropped separator and of a dropped repeat.
 SWAP, DROP, REPEAT = -0.5, -0.3, -0.3
 
 _LOOK = re.escape("".join(LOOKALIKES))
 WORD = re.compile(r"[^\W\d_]+")
-#: Chunks worth decoding: look-alikes inside or before letters, spelled-out words,
-#: words joined by separators; and words with a letter three times over.
-HIDDEN = re.compile(
-    rf"(?<!\S)[^\W\d_]*+[{_LOOK}]++[^\W\d_](?:[^\W\d_]|[{_LOOK}])*+"
-    rf"|(?<!\S)(?:[^\W\d_]|[{_LOOK}])(?:[ .\-_*~]{{1,2}}(?:[^\W\d_]|[{_LOOK}])){{2,}}(?![^\W_])"
-    r"|(?<![^\W\d_])[^\W\d_]++(?:[.\-_*~][^\W\d_]++)++"
-)
-#: Runs of letters and look-alikes with at least one of each, and such or plain runs
-#: joined by any number of separators.
+#: Chunks worth decoding. Of one run without white space: look-alikes inside or before
+#: letters; letters and look-alikes with at least one of each; such or plain runs joined
+#: by separators; words with homoglyphs among Latin letters, or a letter three times over.
 _SIGN = rf"(?:[^\W\d_]|[{_LOOK}])"
+HIDDEN = re.compile(rf"^[^\W\d_]*+[{_LOOK}]++[^\W\d_]{_SIGN}*+|(?<![^\W\d_])[^\W\d_]++(?:[.\-_*~][^\W\d_]++)++")
 MIXED = re.compile(rf"(?<![^\W_])(?<![{_LOOK}])(?=[^\W\d_]*+[{_LOOK}])(?=[{_LOOK}]*+[^\W\d_]){_SIGN}++")
 JOINED = re.compile(rf"(?<![^\W_])(?<![{_LOOK}.\-_*~])(?=[{_LOOK}.\-_*~]*+[^\W\d_]){_SIGN}++(?:[.\-_*~]++{_SIGN}++)++")
+FOREIGN = re.compile(f"(?=[^a-z]*+[a-z])[^{''.join(HOMOGLYPHS)}]*+[{''.join(HOMOGLYPHS)}]")
+#: Across white space: words spelled out letter by letter.
+SPELLED = re.compile(rf"(?<!\S){_SIGN}(?:[ .\-_*~]{{1,2}}{_SIGN}){{2,}}(?![^\W_])")
 #: Look-alikes that also stand around words as signs.
 MARKS = "".join(c for c in LOOKALIKES if not c.isalnum())
 STRETCHED = re.compile(r"([^\W\d_])\1\1")
@@ -77,7 +81,8 @@ def held_out(doc_id: Column) -> Column:
 class Channel:
     """Character model and lattice decoder; ``counts`` are of trigrams of letter codes."""
 
-    def __init__(self, counts: np.ndarray, lexicon: list[str]):
+    def __init__(self, counts: np.ndarray, lexicon: list[str], decoding: bool = True):
+        self.decoding = decoding
         model = counts.astype(float).reshape(CODES, CODES, CODES)
         words = np.zeros_like(model)
         for w in lexicon:
@@ -91,6 +96,7 @@ class Channel:
         smooth = pairs / pairs.sum(1, keepdims=True)
         self.log = np.log((model + 2 * smooth[None]) / (model.sum(2, keepdims=True) + 2)).tolist()
         self.memo: dict[str, tuple[str, ...]] = {}
+        self.chunks: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {}
 
     def decode(self, chunk: str) -> tuple[str, ...]:
         """Best words for a chunk: one reading with the separators dropped, and its parts between them."""
@@ -127,6 +133,8 @@ class Channel:
         for i, c in enumerate(chunk):
             new: dict[tuple[int, int], tuple[float, tuple]] = {}
             readings = [(c, 0.0)] if c.isalpha() else [(x, SWAP) for x in LOOKALIKES.get(c, "")]
+            if c in HOMOGLYPHS:
+                readings.append((HOMOGLYPHS[c], SWAP))
             for (a, b), (score, path) in states.items():
                 for letter, price in readings:
                     k = CODE.get(letter, OTHER)
@@ -150,22 +158,48 @@ class Channel:
             out.append(letter)
         return "".join(reversed(out))
 
+    def chunk(self, chunk: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+        """Plain and restored words of a lower-cased run without white space."""
+        got = self.chunks.get(chunk)
+        if got is None:
+            words = WORD.findall(chunk)
+            found: set[str] = set()
+            if self.decoding:
+                if not chunk.isalpha():
+                    for m in HIDDEN.finditer(chunk):
+                        found.update(self.decode(m[0]))
+                    for pattern in (MIXED, JOINED):
+                        for m in pattern.finditer(chunk):
+                            found.update(self.restored(m[0]))
+                for w in [w for w in (*words, *found) if STRETCHED.search(w) or not w.isascii() and FOREIGN.match(w)]:
+                    found.update(self.decode(w))
+            got = tuple(words), tuple(found.difference(words))
+            if len(self.chunks) < 300_000 and len(chunk) < 64:
+                self.chunks[chunk] = got
+        return got
+
     def features(self, text: str) -> set[str]:
-        """Lower-cased words of a text, plain and restored, and its frequent stems (marked by a star)."""
+        """Lower-cased words of a text, plain and restored, and frequent stems of both (marked by a star)."""
         text = text.lower()
-        words = WORD.findall(text)
-        out = set(words)
-        least = max(STEM_WORDS, STEM_RATE * len(words) / 1000)
-        stems = [f"{stem}*" for stem, n in Counter([w[:STEM] for w in words]).items() if n >= least and len(stem) == STEM]
-        for m in HIDDEN.finditer(text):
-            out.update(self.decode(m[0]))
-        for pattern in (MIXED, JOINED):
-            for m in pattern.finditer(text):
-                out.update(self.restored(m[0]))
-        if STRETCHED.search(text):
-            for w in [w for w in out if STRETCHED.search(w)]:
-                out.update(self.decode(w))
-        out.update(stems)
+        out: set[str] = set()
+        stems: Counter = Counter()
+        n = 0
+
+        def take(words: tuple[str, ...], times: int) -> None:
+            out.update(words)
+            for w in words:
+                stems[w[:STEM]] += times
+
+        for chunk, times in Counter(text.split()).items():
+            plain, restored = self.chunk(chunk)
+            n += times * len(plain)
+            take(plain, times)
+            take(restored, times)
+        if self.decoding:
+            for m in SPELLED.finditer(text):
+                take(tuple(w for w in self.decode(m[0]) if w), 1)
+        least = max(STEM_WORDS, STEM_RATE * n / 1000)
+        out.update(f"{stem}*" for stem, k in stems.items() if k >= least and len(stem) == STEM)
         return out
 
 
@@ -207,11 +241,11 @@ def corpus_model(docs: DataFrame) -> np.ndarray:
     return counts
 
 
-def word_counts(sample: DataFrame, counts: np.ndarray, lexicon: list[str] | None = None) -> DataFrame:
+def word_counts(sample: DataFrame, counts: np.ndarray, lexicon: list[str] | None = None, decoding: bool = True) -> DataFrame:
     """(word, n1, n0): sample rows of either label that have the feature."""
 
     def make():
-        channel = Channel(counts, lexicon or [])
+        channel = Channel(counts, lexicon or [], decoding)
 
         def work(batch: pa.RecordBatch):
             found: tuple[Counter, Counter] = (Counter(), Counter())
@@ -258,11 +292,13 @@ def logistic(rows: list[tuple[list[int], int]], k: int, ridge: float = RIDGE, st
     return w, float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, lexicon: int = LEXICON) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, decoding: bool = True) -> Model:
     """Model of the label ``toxic`` from ``docs`` outside the held-out part.
 
     At most ``fit_rows`` labelled ids are taken, in order of a hash; with none, the
-    score is a constant half.
+    score is a constant half. What reaches the driver, features with ``LEAST_ROWS``
+    rows of that sample and each row's list of them, is bounded by the sample. After
+    a first fit, features of no weight go and the others and the bias are fitted again.
     """
     counts = corpus_model(docs)
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
@@ -276,13 +312,13 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, lexicon: i
     n, n1 = F.col("n1") + F.col("n0"), F.col("n1")
     # How far the word's rows are from the label's share, in standard deviations.
     far = (n1 - n * share) / F.sqrt(n * share * (1 - share) + 1)
-    best = lambda df: [r.word for r in df.where((n >= LEAST_ROWS) & (n1 > n * 2 * share)).orderBy(far.desc(), "word").limit(lexicon).collect()]
-    first = best(word_counts(sample, counts))
-    words = best(word_counts(sample, counts, first))
+    best = lambda df: [r.word for r in df.where((n >= LEAST_ROWS) & (n1 > n * 2 * share)).orderBy(far.desc(), "word").collect()]
+    first = best(word_counts(sample, counts, decoding=decoding))
+    words = best(word_counts(sample, counts, first, decoding)) if decoding else first
     index = {w: i for i, w in enumerate(words)}
 
     def make():
-        channel = Channel(counts, words)
+        channel = Channel(counts, words, decoding)
 
         def work(batch: pa.RecordBatch):
             found = [sorted(index[w] for w in channel.features(t or "") & index.keys()) for t in batch.column(0).to_pylist()]
@@ -294,25 +330,29 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, lexicon: i
     data = sorted((list(r.features), r.toxic) for r in arrow_map(sample, make, schema).collect())  # at most fit_rows short lists
     if not data:
         return Model(counts, {}, 0.0)
-    weights, bias = logistic(data, len(words))
-    return Model(counts, {w: float(weights[i]) for w, i in index.items() if weights[i] > 0.05}, bias)
+    weights, _ = logistic(data, len(words))
+    kept = [i for i in range(len(words)) if weights[i] > LEAST_WEIGHT]
+    place = {i: k for k, i in enumerate(kept)}
+    weights, bias = logistic([([place[i] for i in f if i in place], t) for f, t in data], len(kept))
+    return Model(counts, {words[i]: float(weights[k]) for k, i in enumerate(kept)}, bias)
 
 
 SCORE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("hits", T.ArrayType(T.StringType()))])
 
 
-def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **fitting) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, decoding: bool = True, **fitting) -> DataFrame:
     """doc_id, held_out, score, predicted and ``hits`` (lexicon words found) of each row.
 
     Null and empty texts have no words and get the model's bias as score. Texts are
     read whole. Rows with a null doc_id are scored and not held out; repeated rows
     are kept, other columns ignored, an empty table gives no rows. Labels of absent
     documents, null labels and repeated labels (the higher counts) are allowed.
+    Without ``decoding`` hidden words stay as they are, for comparison.
     """
-    model = fit(docs, labels, **fitting)
+    model = fit(docs, labels, decoding=decoding, **fitting)
 
     def make():
-        channel = Channel(model.counts, sorted(model.weights))
+        channel = Channel(model.counts, sorted(model.weights), decoding)
 
         def work(batch: pa.RecordBatch):
             ids, texts = batch.column(0).to_pylist(), batch.column(1)

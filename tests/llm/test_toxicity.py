@@ -23,7 +23,7 @@ def hide(word, rng):
     return word[:2] + rng.choice(".-_*") + word[2:]
 
 
-def corpus(n, rng):
+def corpus(n, rng, hidden=0.5):
     syllables = ["ta", "ro", "mi", "len", "ka", "shu", "dor", "vi", "pel", "no"]
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
     rows, labels = [], []
@@ -33,7 +33,7 @@ def corpus(n, rng):
         if toxic:
             for _ in range(2):
                 w = rng.choice(BAD)
-                words.insert(rng.randrange(len(words)), hide(w, rng) if rng.random() < 0.5 else w)
+                words.insert(rng.randrange(len(words)), hide(w, rng) if rng.random() < hidden else w)
         rows.append((i, " ".join(words)))
         labels.append((i, int(toxic)))
     return rows, labels
@@ -58,6 +58,40 @@ def test_held_out_rows_are_found(scored):
     assert sum(got[i].predicted for i in held if not labels[i]) <= 2
 
 
+def test_decoder_raises_held_out_recall(spark):
+    """Toxic words plain in fitted rows and hidden in held-out ones: with the decoder found, without it missed."""
+    rng = random.Random(4)
+    rows, labels = corpus(1200, rng, 0)
+    held = {i for i, _ in labels if zlib.crc32(str(i).encode()) % 4 == 2}
+    rows = [(i, " ".join(hide(w, rng) if i in held and w in BAD else w for w in t.split())) for i, t in rows]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame(labels, "doc_id long, toxic int")
+    toxic = {i for i, t in labels if t and i in held}
+    recall, false = {}, {}
+    for decoding in (True, False):
+        found = {r.doc_id for r in tox.scored(docs, marks, decoding=decoding).collect() if r.predicted and r.held_out}
+        recall[decoding], false[decoding] = len(found & toxic) / len(toxic), len(found - toxic)
+    print("held-out recall and false alarms, with and without the decoder:", recall, false)
+    assert recall[True] > 0.95 and recall[True] > recall[False] + 0.2 and false[True] <= 2, (recall, false)
+
+
+def test_logistic_fit_is_at_the_optimum():
+    """No coordinate's gradient of the ridged loss is left, the bias' included."""
+    rng = np.random.default_rng(2)
+    rows = [(sorted(rng.choice(12, rng.integers(0, 6), replace=False).tolist()), int(rng.random() < 0.3)) for _ in range(400)]
+    w, b = tox.logistic(rows, 12, steps=3000)
+    z = np.array([b + sum(w[i] for i in f) for f, _ in rows])
+    gap = 1 / (1 + np.exp(-z)) - np.array([t for _, t in rows])
+    gradient = [sum(g for g, (f, _) in zip(gap, rows, strict=True) if i in f) + tox.RIDGE * w[i] for i in range(12)]
+    assert max(map(abs, gradient)) < 1e-2 and abs(gap.sum()) < 1e-2
+
+
+def test_restored_words_reach_stems_and_homoglyphs_are_read():
+    channel = tox.Channel(np.ones(tox.CODES**3), ["idiotic", "idiots", "scum"])
+    assert "idiot*" in channel.features("an 1d1otic man among 1d1ots")
+    assert "scum" in channel.features("sc\u0443m") or "scum" in channel.features("\u0455cum")
+    assert tox.Channel(np.ones(tox.CODES**3), ["idiot"], decoding=False).features("1d1ot x") == {"d", "ot", "x"}
+
+
 def test_edge_rows(scored):
     _, _, _, got = scored
     assert got[2000].score == got[2001].score and got[2000].predicted == 0
