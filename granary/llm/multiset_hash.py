@@ -151,17 +151,23 @@ def with_edits(docs: DataFrame) -> DataFrame:
     document then sends the head that the one before it needs, and its lanes, so a
     text is never sent whole to another, and no task holds more than its share.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # Without an alias where none is needed: it would stay on one side of the join only, and make two exchanges of texts.
+    key = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+    rows = docs.select(key, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     half = lambda text: F.call_function("div", F.length(text), F.lit(2)).cast("int")
+    # The same filter on every side of the joins, so that the exchange of texts is one and is reused.
     named = rows.where("doc_id is not null")
     wanted = named.groupBy("doc_id").agg(F.max(half(F.col("text"))).alias("half"))
     last = named.agg(F.max("doc_id")).first()[0]
     after = below(rows.select("doc_id"), "doc_id").select(F.col("doc_id").alias("id"), F.coalesce("below", F.lit(last)).alias("next"))
     needs = wanted.join(after, F.col("doc_id") == F.col("id")).select("id", "next", "half")
-    dealt = rows.withColumn("lanes", vector(F.col("text"))).repartition("doc_id")
-    one = dealt.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("text", "lanes")).alias("of"))
+    dealt = named.withColumn("lanes", vector(F.col("text"))).repartition("doc_id")
+    one = dealt.groupBy("doc_id").agg(F.min(F.struct("text", "lanes")).alias("of"))
     heads = one.join(needs, F.col("doc_id") == F.col("next")).select("id", F.substring("of.text", F.lit(1), F.col("half")).alias("head"), F.col("of.lanes").alias("next_lanes"))
-    pairs = dealt.join(heads, F.col("doc_id") == F.col("id"), "left")
+    pairs = dealt.join(heads, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "lanes", "head", "next_lanes")
+    none = dict(pairs.dtypes)
+    nameless = rows.where("doc_id is null").select("doc_id", "text", vector(F.col("text")).alias("lanes"), *(F.lit(None).cast(none[c]).alias(c) for c in ("head", "next_lanes")))
+    pairs = pairs.union(nameless)
     n, own = F.length("text"), half(F.col("text"))
     edited = F.concat(F.substring("text", F.lit(1), n - own), F.coalesce(F.substring("head", F.lit(1), own), F.lit("")))
     out = pairs.select("doc_id", n.cast("long").alias("n_chars"), "lanes", "next_lanes", edited.alias("edited"))
