@@ -8,25 +8,24 @@ from pyspark.sql import functions as F
 from granary.schemas import RENAMED
 
 
+DECIDING = ("Customer ID", "Invoice", "Quantity", "Price")
+
+
 def clean(raw: DataFrame, counts: Observation | None = None) -> DataFrame:
     """Transactions: rows with a customer, not cancelled, quantity and price above zero.
 
     A row without a customer id (null or NaN) goes; an invoice that begins with a
     capital C is a cancellation, a missing invoice is none; null quantities and
     prices are not above zero. Columns get their stored names. ``counts`` observes
-    the number of kept rows in the same pass. Columns that ``raw`` lacks are not made.
+    the number of kept rows in the same pass. The four columns that decide must be
+    there, others may be pruned: a missing one is an error, not a rule left out.
     """
-    have = set(raw.columns)
-    df = raw
-    if "Customer ID" in have:
-        df = df.na.drop(subset=["Customer ID"])
-    if "Invoice" in have:
-        df = df.where(~F.coalesce(F.col("Invoice").cast("string"), F.lit("")).startswith("C"))
-    if "Quantity" in have:
-        df = df.where(F.col("Quantity") > 0)
-    if "Price" in have:
-        df = df.where(F.col("Price") > 0)
-    df = df.withColumnsRenamed({k: v for k, v in RENAMED.items() if k in have})
+    if missing := [c for c in DECIDING if c not in raw.columns]:
+        raise ValueError(f"cleaning needs the columns {', '.join(missing)}")
+    df = raw.na.drop(subset=["Customer ID"])
+    df = df.where(~F.coalesce(F.col("Invoice").cast("string"), F.lit("")).startswith("C"))
+    df = df.where((F.col("Quantity") > 0) & (F.col("Price") > 0))
+    df = df.withColumnsRenamed({k: v for k, v in RENAMED.items() if k in raw.columns})
     return df.observe(counts, F.count(F.lit(1)).alias("rows")) if counts else df
 
 

@@ -27,12 +27,16 @@ def profiles(events: DataFrame, customer: str, order: str, time: str, amount: Co
     """customer_id, recency, frequency, monetary of each customer.
 
     Recency is in whole days before one day after the last event of all; frequency
-    counts different orders; rows without a customer are left out.
+    counts different orders; rows without a customer only count for the last event.
+
+    One pass: the last event of all is taken from those of the customers. For that
+    both sides read the same aggregate and reuse its exchange, so the maximum is of
+    structs with all its columns, and customers are told from their absence by a
+    maximum, not by the key, on which a filter would be pushed below one side only.
     """
-    rows = events.where(F.col(customer).isNotNull())
-    end = events.agg((F.max(time) + F.expr("interval 1 day")).alias("end")).scalar()
-    by = rows.groupBy(F.col(customer).alias("customer_id")).agg(F.max(time).alias("last"), F.countDistinct(order).alias("frequency"), exact_sum(amount).alias("monetary"))
-    return by.select("customer_id", elapsed_days(F.col("last"), end).alias("recency"), "frequency", "monetary")
+    by = events.groupBy(F.col(customer).alias("customer_id")).agg(F.max(time).alias("last"), F.countDistinct(order).alias("frequency"), exact_sum(amount).alias("monetary"), F.max(customer).alias("who"))
+    end = by.agg((F.max(F.struct("last", "frequency", "monetary", "who"))["last"] + F.expr("interval 1 day")).alias("end")).scalar()
+    return by.where(F.col("who").isNotNull()).select("customer_id", elapsed_days(F.col("last"), end).alias("recency"), "frequency", "monetary")
 
 
 def rfm(transactions: DataFrame) -> DataFrame:
@@ -55,6 +59,28 @@ def nearest(points: DataFrame, centers: list[tuple[float, ...]], places: int = 6
     return points.withColumn("cluster", F.array_min(ranked)["i"])
 
 
+def lloyd(points: DataFrame, centers: list[tuple[float, ...]], steps: int = 5, places: int = 6) -> tuple[list[tuple[float, ...]], DataFrame]:
+    """K-Means from given centers: after so many steps the centers, and the points with their ``cluster``.
+
+    A step assigns all points and takes each cluster's mean; only the centers, one row
+    each, come to the driver. A cluster without points keeps its center.
+    """
+    for _ in range(steps):
+        means = nearest(points, centers, places).groupBy("cluster").agg(*(F.round(F.avg(F.round(f"z_{m}", places)), places).alias(m) for m in METRICS)).collect()
+        found = {r.cluster: tuple(r[m] for m in METRICS) for r in means}
+        centers = [found.get(i, c) for i, c in enumerate(centers)]
+    return centers, nearest(points, centers, places)
+
+
+def cost(clustered: DataFrame, centers: list[tuple[float, ...]], places: int = 6) -> DataFrame:
+    """(cluster, customer_count, cost): squared distances to the clusters' centers in scaled space."""
+    def far(center: tuple[float, ...]) -> Column:
+        return reduce(lambda s, x: s + x, (F.pow(F.round(f"z_{m}", places) - float(c), F.lit(2.0)) for m, c in zip(METRICS, center, strict=True)))
+
+    own = reduce(lambda rest, x: F.when(F.col("cluster") == x[0], far(x[1])).otherwise(rest), enumerate(centers), F.lit(None).cast("double"))
+    return clustered.groupBy("cluster").agg(F.count("*").alias("customer_count"), exact_sum(own, 10).alias("cost"))
+
+
 def k_means(points: DataFrame, k: int = 4, starts: int = 10, seed: int = 42, steps: int = 300) -> tuple[DataFrame, float]:
     """Adds ``cluster`` by the best of several K-Means runs on the scaled metrics; also its cost."""
     from pyspark.ml.clustering import KMeans

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.calendar import week_ending
-from granary.operators.revenue import top_skus
 
 TOP = 100
 
@@ -14,15 +13,20 @@ TOP = 100
 def weekly_demand(transactions: DataFrame, top: int = TOP) -> DataFrame:
     """(week, stock_code, weekly_sales) of the ``top`` products; weeks without sales have no row.
 
-    The kept codes are at most ``top`` rows, so they are broadcast and filter the
-    scan: one pass sums quantities per product, a second sums only the kept products
-    by week. Both shuffle partial sums alone, never sales.
+    One pass over the sales sums quantities by product and week; products are ranked
+    by the sums of these, ties by the smaller code, and the ``top`` codes, a broadcast
+    of so many rows at most, keep their weeks. Both sides of the join read the same
+    aggregate and reuse its exchange, which holds partial sums, never sales. For that
+    they need the same columns, and no filter on a key that would be pushed below one
+    side: sales without a date count for the rank and have no week, and go by the
+    comparison of dates.
     """
     sold = transactions.where(F.col("stock_code").isNotNull() & F.col("quantity").isNotNull())
-    best = top_skus(sold, top).select("stock_code")
-    kept = sold.join(F.broadcast(best), "stock_code", "left_semi").where(F.col("invoice_date").isNotNull())
-    weekly = kept.groupBy("stock_code", week_ending("invoice_date").alias("week")).agg(F.sum("quantity").cast("long").alias("weekly_sales"))
-    return weekly.select("week", "stock_code", "weekly_sales")
+    weekly = sold.groupBy("stock_code", week_ending("invoice_date").alias("week")).agg(F.sum("quantity").cast("long").alias("weekly_sales"), F.max("invoice_date").alias("dated"))
+    sums = weekly.groupBy("stock_code").agg(F.sum("weekly_sales").alias("total"), F.max("dated").alias("latest"))
+    best = sums.orderBy(F.desc("total"), "stock_code").limit(top).select(F.col("stock_code").alias("best"), "latest")
+    kept = weekly.join(F.broadcast(best), (F.col("stock_code") == F.col("best")) & (F.col("dated") <= F.col("latest")))
+    return kept.select("week", "stock_code", "weekly_sales")
 
 
 def with_empty_weeks(weekly: DataFrame) -> DataFrame:

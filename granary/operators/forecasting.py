@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,6 +14,7 @@ from granary.operators.demand import latest
 
 GROWTH = 0.02
 FEATURES = ("lag_1_week", "lag_2_week", "rolling_4_wk_avg", "month")
+YEARLY_ORDER = 3
 EPSILON = 2.220446049250313e-16
 PREDICTED = "stock_code string, week timestamp_ntz, weekly_sales bigint, prediction double"
 
@@ -41,28 +44,43 @@ def metrics(predicted: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return predicted.groupBy(*keys).agg(F.avg(F.abs(y - p) / F.greatest(F.abs(y), F.lit(EPSILON))).alias("mape"), F.sqrt(F.avg(F.pow(y - p, F.lit(2.0)))).alias("rmse"))
 
 
-def boosted_trees(parts: DataFrame) -> DataFrame:
-    """Predictions on the test part by gradient-boosted trees on the lag features of the train part."""
+def _tree_rows(parts: DataFrame) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
+
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(parts)
+
+
+def fit_boosted_trees(parts: DataFrame):
+    """Gradient-boosted trees on the lag features of the train part; a model that Spark can write and load."""
     from pyspark.ml.regression import GBTRegressor
 
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(parts)
-    model = GBTRegressor(labelCol="weekly_sales", maxIter=100, stepSize=0.05, maxDepth=4, seed=42).fit(rows.where("part = 'train'"))
-    return model.transform(rows.where("part = 'test'")).select("stock_code", "week", "weekly_sales", F.greatest("prediction", F.lit(0.0)).alias("prediction"))
+    return GBTRegressor(labelCol="weekly_sales", maxIter=100, stepSize=0.05, maxDepth=4, seed=42).fit(_tree_rows(parts).where("part = 'train'"))
+
+
+def tree_predictions(model, parts: DataFrame) -> DataFrame:
+    """Predictions of fitted trees on the test part."""
+    return model.transform(_tree_rows(parts).where("part = 'test'")).select("stock_code", "week", "weekly_sales", "prediction")
+
+
+def boosted_trees(parts: DataFrame) -> DataFrame:
+    """Predictions on the test part by trees fitted on the train part."""
+    return tree_predictions(fit_boosted_trees(parts), parts)
 
 
-def _sarima_residuals(w: np.ndarray, phi: float, seasonal: float, theta: float) -> np.ndarray:
-    """Residuals of (1 - phi B)(1 - seasonal B^4) w = (1 + theta B) e, those before the start being 0."""
+def _sarima_residuals(w: np.ndarray, phi: np.ndarray, seasonal: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """Residuals of (1 - phi B)(1 - seasonal B^4) w = (1 + theta B) e, those before the start
+    being 0: a row of them for each of the coefficients, which are arrays."""
     past = lambda k: np.concatenate((np.zeros(k), w[:-k]))[: len(w)]
-    u = w - phi * past(1) - seasonal * past(4) + phi * seasonal * past(5)
-    e = np.zeros(len(w))
-    for t in range(len(w)):
-        e[t] = u[t] - theta * (e[t - 1] if t else 0.0)
+    phi, seasonal = phi[:, None], seasonal[:, None]
+    e = w - phi * past(1) - seasonal * past(4) + phi * seasonal * past(5)
+    for t in range(1, len(w)):
+        e[:, t] -= theta * e[:, t - 1]
     return e
 
 
-def sarima(y: np.ndarray, steps: int) -> np.ndarray:
-    """Forecast of a (1,1,1)(1,1,0,4) model fitted by conditional least squares.
+def sarima(y: np.ndarray, steps: int, coefficients: tuple[float, float, float] | None = None) -> np.ndarray:
+    """Forecast of a (1,1,1)(1,1,0,4) model, fitted by conditional least squares unless
+    its ``coefficients`` (phi, seasonal, theta) are given.
 
     The three coefficients are searched on a grid that is refined around the best
     point. Series too short to difference are continued by their last value.
@@ -72,13 +90,14 @@ def sarima(y: np.ndarray, steps: int) -> np.ndarray:
         return np.full(steps, y[-1] if len(y) else 0.0)
     d = np.diff(y)
     w = d[4:] - d[:-4]
-    best, width = np.zeros(3), 0.9
-    for _ in range(6):
-        grid = [np.clip(c + width * np.array([-1, -0.5, 0, 0.5, 1]), -0.95, 0.95) for c in best]
-        best = min((np.array([a, b, c]) for a in grid[0] for b in grid[1] for c in grid[2]), key=lambda p: float((_sarima_residuals(w, *p) ** 2).sum()))
+    best, width = np.array(coefficients or (0.0, 0.0, 0.0)), 0.9
+    for _ in range(0 if coefficients else 6):
+        axes = np.clip(best[:, None] + width * np.array([-1, -0.5, 0, 0.5, 1]), -0.95, 0.95)
+        grid = np.stack(np.meshgrid(*axes, indexing="ij"), -1).reshape(-1, 3)
+        best = grid[(_sarima_residuals(w, *grid.T) ** 2).sum(1).argmin()]
         width /= 2
     phi, seasonal, theta = best
-    e = _sarima_residuals(w, *best)[-1]
+    e = _sarima_residuals(w, *best[:, None])[0, -1]
     w, out = list(w), list(y)
     for _ in range(steps):
         at = lambda k: w[-k] if len(w) >= k else 0.0
@@ -88,19 +107,39 @@ def sarima(y: np.ndarray, steps: int) -> np.ndarray:
     return np.array(out[len(y) :])
 
 
-def yearly_trend(weeks: pd.Series, y: np.ndarray, ahead: pd.Series, order: int = 3, ridge: float = 1.0) -> np.ndarray:
-    """A linear trend and yearly Fourier terms fitted by ridge regression."""
-    start = weeks.iloc[0]
+def yearly_terms(parts: DataFrame, order: int = YEARLY_ORDER) -> DataFrame:
+    """Adds ``terms``: 1, years since the product's first train week, and yearly sine and cosine waves."""
+    first = F.min(F.when(F.col("part") == "train", F.col("week"))).over(Window.partitionBy("stock_code"))
+    t = F.timestamp_diff("SECOND", first, F.col("week")) / (365.25 * 86400)
+    timed = parts.withColumn("t", t)
+    waves = [f(2 * math.pi * k * F.col("t")) for k in range(1, order + 1) for f in (F.sin, F.cos)]
+    return timed.withColumn("terms", F.array(F.lit(1.0), F.col("t"), *waves)).drop("t")
+
+
+def normal_equations(termed: DataFrame) -> DataFrame:
+    """(stock_code, i, j, value) of each product's train part: sums of term i times term j
+    for i <= j, and of term i times the sales as j = -1."""
+    pairs = F.transform("terms", lambda x, i: F.struct(i.alias("i"), F.lit(-1).alias("j"), (x * F.col("weekly_sales")).alias("v")))
+    squares = F.flatten(F.transform("terms", lambda x, i: F.transform(F.slice("terms", i + 1, F.size("terms")), lambda y, j: F.struct(i.alias("i"), (i + j).alias("j"), (x * y).alias("v")))))
+    rows = termed.where("part = 'train'").select("stock_code", F.explode(F.concat(pairs, squares)).alias("p")).select("stock_code", "p.*")
+    return rows.groupBy("stock_code", "i", "j").agg(F.sum("v").alias("value"))
 
-    def terms(ts: pd.Series) -> np.ndarray:
-        t = (ts - start).dt.total_seconds().to_numpy() / (365.25 * 86400)
-        waves = [f(2 * np.pi * k * t) for k in range(1, order + 1) for f in (np.sin, np.cos)]
-        return np.stack([np.ones_like(t), t, *waves], 1)
 
-    x = terms(weeks)
-    keep = np.full(x.shape[1], ridge)
-    keep[:2] = 1e-6
-    return terms(ahead) @ np.linalg.solve(x.T @ x + np.diag(keep), x.T @ np.asarray(y, float))
+def yearly_weights(equations: DataFrame, ridge: float = 1.0) -> DataFrame:
+    """(stock_code, weights): each product's ridge solution of its normal equations; trend and level are as good as free."""
+
+    def solved(rows: pd.DataFrame) -> pd.DataFrame:
+        n = int(rows.i.max()) + 1
+        a, b = np.zeros((n, n)), np.zeros(n)
+        square = rows[rows.j >= 0]
+        a[square.i, square.j] = a[square.j, square.i] = square.value
+        right = rows[rows.j < 0]
+        b[right.i] = right.value
+        keep = np.full(n, ridge)
+        keep[:2] = 1e-6
+        return pd.DataFrame({"stock_code": [rows.stock_code.iloc[0]], "weights": [np.linalg.solve(a + np.diag(keep), b)]})
+
+    return equations.groupBy("stock_code").applyInPandas(solved, "stock_code string, weights array<double>")
 
 
 def _by_product(parts: DataFrame, predict) -> DataFrame:
@@ -119,9 +158,19 @@ def sarima_forecast(parts: DataFrame) -> DataFrame:
     return _by_product(parts, lambda train, test: sarima(train.weekly_sales.to_numpy(), len(test)))
 
 
+def sarima_path(parts: DataFrame, coefficients: tuple[float, float, float]) -> DataFrame:
+    """As :func:`sarima_forecast`, with given coefficients (phi, seasonal, theta)."""
+    return _by_product(parts, lambda train, test: sarima(train.weekly_sales.to_numpy(), len(test), coefficients))
+
+
 def yearly_forecast(parts: DataFrame) -> DataFrame:
-    """Predictions on each product's test part by trend and yearly waves of its train part."""
-    return _by_product(parts, lambda train, test: yearly_trend(train.week, train.weekly_sales.to_numpy(), test.week))
+    """Predictions on each product's test part by a linear trend and yearly waves, fitted
+    by ridge regression on its train part. Only the solution of the normal equations of a
+    product, a matrix of eight rows, is Python."""
+    termed = yearly_terms(parts)
+    weights = yearly_weights(normal_equations(termed))
+    value = F.aggregate(F.zip_with("terms", "weights", lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x)
+    return termed.where("part = 'test'").join(weights, "stock_code").select("stock_code", "week", "weekly_sales", value.alias("prediction"))
 
 
 def lag_forecast(parts: DataFrame) -> DataFrame:

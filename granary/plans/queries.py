@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,11 @@ from granary import serving
 from granary.functions.calendar import week_ending
 from granary.operators import customers, demand, forecasting, revenue
 from granary.operators.cleaning import clean, net_of_cancellations, with_amount
-from granary.plans.sql import CENTERS
-from granary.sources.sales import star_sales
+from granary.plans.sql import CENTERS, COEFFICIENTS, STEPS
+from granary.schemas import TRANSACTIONS
+from granary.session import shared_dir
+from granary.sources import sinks
+from granary.sources.sales import sales_rows, star_sales, stored, stored_in_order
 
 DEMAND = ("Invoice", "StockCode", "Quantity", "InvoiceDate", "Price", "Customer ID")
 SPEND = ("Invoice", "Quantity", "InvoiceDate", "Price", "Customer ID")
@@ -39,9 +43,15 @@ def _segments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _top_parts(spark: SparkSession, folder: str) -> DataFrame:
-    """Split features of the product with most sales, a few rows that several models read."""
+    """Split features of the product with most sales.
+
+    Models are fitted by many passes and three of them read these rows, so they are
+    held as a local relation: one product has at most one row a calendar week.
+    """
     rows = _features(spark, folder)
-    return forecasting.split(rows.join(F.broadcast(demand.top_sku(rows).select("stock_code")), "stock_code", "left_semi"))
+    top = demand.top_sku(rows).select(F.col("stock_code").alias("top"))
+    parts = forecasting.split(rows.join(F.broadcast(top), F.col("stock_code") == F.col("top")).drop("top"))
+    return spark.createDataFrame(parts.collect(), parts.schema)
 
 
 def clean_transactions(spark: SparkSession, folder: str) -> DataFrame:
@@ -120,7 +130,7 @@ def segment_lookup(spark: SparkSession, folder: str) -> DataFrame:
 
 def segment_actions(spark: SparkSession, folder: str) -> DataFrame:
     rows = serving.segments(_segments(spark, folder))
-    return rows.select("customer_id", "metrics.days_since_last_purchase", "metrics.total_lifetime_orders", "segmentation.assigned_bucket", "segmentation.strategic_next_action")
+    return rows.select("customer_id", "metrics.days_since_last_purchase", "metrics.total_lifetime_orders", "segmentation.assigned_bucket", "segmentation.strategic_next_action", "metrics.total_monetary_spend")
 
 
 def net_quantities(spark: SparkSession, folder: str) -> DataFrame:
@@ -153,8 +163,94 @@ def yearly_forecast(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def model_comparison(spark: SparkSession, folder: str) -> DataFrame:
-    parts = _top_parts(spark, folder).persist()  # one product's weeks
-    return forecasting.compared(parts)
+    return forecasting.compared(_top_parts(spark, folder))
+
+
+def row_counts(spark: SparkSession, folder: str) -> DataFrame:
+    raw = star_sales(spark, folder, ("Invoice", "Quantity", "Price", "Customer ID"))
+    sizes = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n") for name, df in (("raw", raw), ("clean", clean(raw)))]
+    return sizes[0].union(sizes[1])
+
+
+def projected_transactions(spark: SparkSession, folder: str) -> DataFrame:
+    return transactions(spark, folder, SPEND).select("customer_id", "invoice_no", "invoice_date", "quantity", "unit_price")
+
+
+def inline_rows(spark: SparkSession, folder: str) -> DataFrame:
+    rows = [("1", "a", None, 2, None, 1.5, 7.0, "X"), ("C2", "b", "d", -1, None, 0.5, None, None)]
+    return sales_rows(spark, rows).select("Invoice", "StockCode", "Description", "Quantity", "Price", F.col("Customer ID").alias("Customer_ID"), "Country")
+
+
+def known_products(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether products have features, the test that an answer for one of them begins with."""
+    codes = spark.read.parquet(f"{folder}/part.parquet").select(F.col("p_partkey").cast("string").alias("stock_code"))
+    return serving.known(_features(spark, folder), codes)
+
+
+def ordered_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored features read in the order of weeks, with each row's position in it: of one
+    product, whose weeks are few, so that positions need no window over all rows."""
+    name = f"ordered_{uuid.uuid4().hex}"
+    rows = _features(spark, folder)
+    top = demand.top_sku(rows).select(F.col("stock_code").alias("top"))
+    sinks.replace_table(rows.join(F.broadcast(top), F.col("stock_code") == F.col("top")).drop("top"), name)
+    read = stored_in_order(spark, name, "week").collect()
+    spark.sql(f"DROP TABLE {name}")
+    return spark.createDataFrame([(i, r.week, r.stock_code, r.weekly_sales) for i, r in enumerate(read)], "position int, week timestamp_ntz, stock_code string, weekly_sales bigint")
+
+
+def features_preview(spark: SparkSession, folder: str) -> DataFrame:
+    """The first five rows by product and week."""
+    return _features(spark, folder).orderBy("stock_code", "week").limit(5)
+
+
+def stored_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows and quantity of a stored table of transactions after it is created, appended to twice, and replaced."""
+    name = f"transactions_{uuid.uuid4().hex}"
+    rows = clean(star_sales(spark, folder))
+    found = []
+
+    def look(step: str) -> None:
+        r = stored(spark, name, ["quantity"]).agg(F.count("*").alias("n"), F.coalesce(F.sum("quantity"), F.lit(0)).alias("total_quantity")).first()
+        found.append((step, r.n, r.total_quantity))
+
+    sinks.create_if_missing(spark, name, TRANSACTIONS)
+    look("created")
+    sinks.create_if_missing(spark, name, TRANSACTIONS)
+    sinks.append_table(rows, name)
+    look("appended")
+    sinks.append_table(rows, name)
+    look("appended again")
+    sinks.replace_table(rows.where("quantity > 25"), name)
+    look("replaced")
+    spark.sql(f"DROP TABLE {name}")
+    return spark.createDataFrame(found, "step string, n bigint, total_quantity bigint")
+
+
+def k_means_fixed_start(spark: SparkSession, folder: str) -> DataFrame:
+    """Clusters after so many steps from given centers: their size and cost."""
+    centers, points = customers.lloyd(customers.scaled(_rfm(spark, folder)), CENTERS, STEPS)
+    return customers.cost(points, centers).select("cluster", "customer_count", F.round("cost", 4).alias("cost"))
+
+
+def sarima_fixed(spark: SparkSession, folder: str) -> DataFrame:
+    rows = forecasting.sarima_path(forecasting.split(_features(spark, folder)), COEFFICIENTS)
+    return rows.withColumn("prediction", F.round("prediction", 6))
+
+
+def yearly_normal_equations(spark: SparkSession, folder: str) -> DataFrame:
+    rows = forecasting.normal_equations(forecasting.yearly_terms(forecasting.split(_features(spark, folder))))
+    return rows.select("stock_code", "i", "j", F.round("value", 5).alias("value"))
+
+
+def saved_model_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The run of the boosted trees, with its saved model, and the metrics of that model read back."""
+    from pyspark.ml.regression import GBTRegressionModel
+
+    parts = _top_parts(spark, folder)
+    path = sinks.save_model(forecasting.fit_boosted_trees(parts), f"{shared_dir(spark)}/models/boosted-trees")
+    m = forecasting.metrics(forecasting.tree_predictions(GBTRegressionModel.load(path), parts)).first()
+    return sinks.run_rows(spark, "Boosted_Trees", {"trees": 100, "depth": 4, "rate": 0.05}, {"MAPE": m.mape, "RMSE": m.rmse}, {"model": path})
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -187,4 +283,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sarima_forecast": sarima_forecast,
     "yearly_forecast": yearly_forecast,
     "model_comparison": model_comparison,
+    "row_counts": row_counts,
+    "projected_transactions": projected_transactions,
+    "inline_rows": inline_rows,
+    "known_products": known_products,
+    "ordered_features": ordered_features,
+    "features_preview": features_preview,
+    "stored_tables": stored_tables,
+    "k_means_fixed_start": k_means_fixed_start,
+    "sarima_fixed": sarima_fixed,
+    "yearly_normal_equations": yearly_normal_equations,
+    "saved_model_runs": saved_model_runs,
 }

@@ -7,6 +7,9 @@ from granary.operators.customers import ACTIONS, LABELS, OTHER_ACTION
 #: Centers in scaled space for the assignment that needs no random start.
 CENTERS = [(0.0, -1.5, -1.5), (1.0, -0.5, -0.5), (0.0, 0.5, 0.5), (-1.0, 1.0, 1.0)]
 
+#: Steps of K-Means from these centers, and coefficients of the seasonal model that need no fit.
+STEPS, COEFFICIENTS = 5, (0.3, -0.2, 0.4)
+
 RAW = """
 raw AS (
   SELECT CASE WHEN l_returnflag = 'R' THEN 'C' ELSE '' END || CAST(l_orderkey AS VARCHAR) AS invoice_no, CAST(l_partkey AS VARCHAR) AS stock_code, p_name AS description,
@@ -69,6 +72,61 @@ PARTS = f"""{FEATURES}, parts AS (
   SELECT *, CASE WHEN row_number() OVER (PARTITION BY stock_code ORDER BY week) <= floor(count(*) OVER (PARTITION BY stock_code) * CAST(0.8 AS DOUBLE)) THEN 'train' ELSE 'test' END AS part FROM f
 )"""
 
+
+
+def _lloyd(steps: int) -> str:
+    """Steps of K-Means as one chain of table expressions: centers, assignment, means."""
+    names = ("recency", "frequency", "monetary")
+    far = [" + ".join(f"pow(round(z_{m}, 6) - c{i}_{m}, 2.0)" for m in names) for i in range(len(CENTERS))]
+    parts = ["k0 AS (SELECT " + ", ".join(f"CAST({v} AS DOUBLE) AS c{i}_{m}" for i, c in enumerate(CENTERS) for m, v in zip(names, c, strict=True)) + ")"]
+    for s in range(steps + 1):
+        which = " ".join(f"WHEN d{i} = least(d0, d1, d2, d3) THEN {i}" for i in range(len(CENTERS)))
+        parts.append(f"a{s} AS (SELECT *, CASE {which} END AS cluster FROM (SELECT z.*, k{s}.*, {', '.join(f'round({d}, 6) AS d{i}' for i, d in enumerate(far))} FROM z, k{s}))")
+        parts.append(f"m{s} AS (SELECT cluster, {', '.join(f'round(avg(round(z_{m}, 6)), 6) AS {m}' for m in names)} FROM a{s} GROUP BY cluster)")
+        parts.append(f"k{s + 1} AS (SELECT " + ", ".join(f"coalesce((SELECT {m} FROM m{s} WHERE cluster = {i}), c{i}_{m}) AS c{i}_{m}" for i in range(len(CENTERS)) for m in names) + f" FROM k{s})")
+    own = " ".join(f"WHEN {i} THEN {d}" for i, d in enumerate(far))
+    return f"{', '.join(parts)} SELECT CAST(cluster AS INTEGER) AS cluster, count(*) AS customer_count, round(CAST(sum(CAST(CASE cluster {own} END AS DECIMAL(18,10))) AS DOUBLE), 4) AS cost FROM a{steps} GROUP BY cluster"
+
+
+def _sarima() -> str:
+    """The recursion of residuals and of forecasts of the seasonal model with given coefficients."""
+    phi, seasonal, theta = (f"CAST({c} AS DOUBLE)" for c in COEFFICIENTS)
+    w = lambda k: f"coalesce(w[len(w) - {k - 1}], 0)"
+    past = lambda k: f"CASE WHEN t > {k} THEN w[t - {k}] ELSE 0 END"
+    return f"""WITH RECURSIVE {PARTS}, y AS (
+  SELECT stock_code, list(CAST(weekly_sales AS DOUBLE) ORDER BY week) FILTER (WHERE part = 'train') AS y FROM parts GROUP BY 1
+), d AS (
+  SELECT *, list_transform(range(1, len(y)), lambda i: y[i + 1] - y[i]) AS d FROM y WHERE len(y) > 0
+), w AS (
+  SELECT *, list_transform(range(1, len(d) - 3), lambda i: d[i + 4] - d[i]) AS w FROM d
+), u AS (
+  SELECT *, list_transform(range(1, len(w) + 1), lambda t: w[t] - {phi} * ({past(1)}) - {seasonal} * ({past(4)}) + {phi} * {seasonal} * ({past(5)})) AS u FROM w
+), e AS (
+  SELECT stock_code, y, w, CASE WHEN len(u) > 0 THEN list_reduce(u, lambda e, x: x - {theta} * e) ELSE 0 END AS e FROM u
+), test AS (
+  SELECT stock_code, week, weekly_sales, row_number() OVER (PARTITION BY stock_code ORDER BY week) AS step FROM parts WHERE part = 'test'
+), steps AS (
+  SELECT stock_code, 0 AS step, len(y) < 7 AS short, y, w, e FROM e
+  UNION ALL
+  SELECT stock_code, step + 1, short,
+         list_append(y, CASE WHEN short THEN y[len(y)] ELSE y[len(y)] + (y[len(y) - 3] - y[len(y) - 4]) + {phi} * {w(1)} + {seasonal} * {w(4)} - {phi} * {seasonal} * {w(5)} + {theta} * e END),
+         list_append(w, {phi} * {w(1)} + {seasonal} * {w(4)} - {phi} * {seasonal} * {w(5)} + {theta} * e), 0.0
+  FROM steps WHERE step < (SELECT max(step) FROM test)
+)
+SELECT t.stock_code, t.week, t.weekly_sales, round(s.y[len(s.y)], 6) AS prediction FROM test t JOIN steps s ON t.stock_code = s.stock_code AND t.step = s.step"""
+
+
+def _normal_equations(order: int = 3) -> str:
+    waves = ", ".join(f"{f}(2 * pi() * {k} * t)" for k in range(1, order + 1) for f in ("sin", "cos"))
+    return f"""WITH {PARTS}, s AS (
+  SELECT stock_code, week, part, CAST(weekly_sales AS DOUBLE) AS y, min(week) FILTER (WHERE part = 'train') OVER (PARTITION BY stock_code) AS first FROM parts
+), x AS (
+  SELECT stock_code, y, [1.0::DOUBLE, t, {waves}] AS x FROM (SELECT *, (epoch(week) - epoch(first)) / (365.25::DOUBLE * 86400) AS t FROM s WHERE part = 'train')
+)
+SELECT stock_code, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sum(x[i + 1] * CASE WHEN j < 0 THEN y ELSE x[j + 1] END), 5) AS value
+FROM x, range({2 + 2 * order}) AS a(i), range(-1, {2 + 2 * order}) AS b(j) WHERE j < 0 OR j >= i GROUP BY 1, 2, 3"""
+
+
 ORACLES: dict[str, str] = {
     "clean_transactions": f"WITH {RAW} SELECT *, quantity * unit_price AS total_sales FROM t",
     "monthly_revenue": f"""WITH {RAW}, m AS (SELECT last_day(invoice_date) AS month_end, {MONEY.format("quantity * unit_price")} AS revenue FROM t GROUP BY 1),
@@ -94,9 +152,21 @@ ORACLES: dict[str, str] = {
     "customer_segments": f"WITH {SCALED} SELECT * FROM s",
     "segment_summary": f"WITH {SCALED} SELECT segment_label, round(avg(recency), 4) AS recency, round(avg(frequency), 4) AS frequency, round(avg(monetary), 4) AS monetary, count(customer_id) AS customer_count FROM s GROUP BY 1",
     "segment_lookup": f"WITH {SCALED} SELECT customer_id, recency, frequency, monetary, segment_label, {ACTION} AS strategic_next_action FROM s WHERE customer_id = 7.0",
-    "segment_actions": f"WITH {SCALED} SELECT customer_id, CAST(recency AS INTEGER) AS days_since_last_purchase, CAST(frequency AS INTEGER) AS total_lifetime_orders, segment_label AS assigned_bucket, {ACTION} AS strategic_next_action FROM s",
+    "segment_actions": f"WITH {SCALED} SELECT customer_id, CAST(recency AS INTEGER) AS days_since_last_purchase, CAST(frequency AS INTEGER) AS total_lifetime_orders, segment_label AS assigned_bucket, {ACTION} AS strategic_next_action, CAST(format('{{:.2f}}', monetary) AS DOUBLE) AS total_monetary_spend FROM s",
     "net_quantities": f"WITH {RAW} SELECT stock_code, CAST(sum(CASE WHEN starts_with(invoice_no, 'C') THEN -abs(quantity) ELSE quantity END) AS BIGINT) AS net_quantity FROM raw GROUP BY 1",
     "train_test_split": f"WITH {PARTS} SELECT stock_code, week, weekly_sales, part FROM parts",
     "naive_metrics": f"""WITH {PARTS} SELECT stock_code, round(avg(abs(weekly_sales - lag_1_week) / greatest(abs(CAST(weekly_sales AS DOUBLE)), 2.220446049250313e-16)), 6) AS mape,
         round(sqrt(avg(pow(weekly_sales - lag_1_week, 2.0))), 6) AS rmse FROM parts WHERE part = 'test' GROUP BY 1""",
+    "row_counts": f"WITH {RAW} SELECT 'raw' AS what, count(*) AS n FROM raw UNION ALL SELECT 'clean', count(*) FROM t",
+    "projected_transactions": f"WITH {RAW} SELECT customer_id, invoice_no, invoice_date, quantity, unit_price FROM t",
+    "inline_rows": """SELECT * FROM (VALUES ('1', 'a', NULL, 2, 1.5::DOUBLE, 7.0::DOUBLE, 'X'), ('C2', 'b', 'd', -1, 0.5::DOUBLE, NULL, NULL)) AS v("Invoice", "StockCode", "Description", "Quantity", "Price", "Customer_ID", "Country")""",
+    "known_products": f"WITH {FEATURES} SELECT CAST(p_partkey AS VARCHAR) AS stock_code, CAST(p_partkey AS VARCHAR) IN (SELECT stock_code FROM f) AS found FROM part",
+    "ordered_features": f"""WITH {FEATURES}, best_one AS (SELECT stock_code FROM f GROUP BY 1 ORDER BY sum(weekly_sales) DESC, 1 LIMIT 1)
+        SELECT CAST(row_number() OVER (ORDER BY week) - 1 AS INTEGER) AS position, week, stock_code, weekly_sales FROM f WHERE stock_code IN (SELECT stock_code FROM best_one)""",
+    "features_preview": f"WITH {FEATURES} SELECT * FROM f ORDER BY stock_code, week LIMIT 5",
+    "stored_tables": f"""WITH {RAW} SELECT 'created' AS step, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS total_quantity UNION ALL SELECT 'appended', count(*), CAST(sum(quantity) AS BIGINT) FROM t
+        UNION ALL SELECT 'appended again', 2 * count(*), CAST(2 * sum(quantity) AS BIGINT) FROM t UNION ALL SELECT 'replaced', count(*), CAST(sum(quantity) AS BIGINT) FROM t WHERE quantity > 25""",
+    "k_means_fixed_start": f"WITH {SCALED}, {_lloyd(STEPS)}",
+    "sarima_fixed": _sarima(),
+    "yearly_normal_equations": _normal_equations(),
 }

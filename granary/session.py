@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import shutil
 import tempfile
 from collections.abc import Mapping
@@ -23,6 +25,16 @@ def session(master: str | None = None, app: str = "granary", **conf: str) -> Spa
     return builder.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """A folder of this application that driver and executors share: below the one that
+    ``spark.checkpoint.dir`` names. Where none is set, a folder of this machine, which
+    does only if the session runs in one process; on a cluster that is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(root or '/tmp/checkpoints').rstrip('/')}/granary-{spark.sparkContext.applicationId}"
+
+
 def jdbc_options(env: Mapping[str, str] = os.environ, host: str = "localhost:5432") -> dict[str, str]:
     """JDBC reader and writer options from DATABASE_URL, or from its parts; an error if neither is set."""
     if url := env.get("DATABASE_URL"):
@@ -42,6 +54,7 @@ def shipped(spark: SparkSession) -> SparkSession:
     context = spark.sparkContext
     if str(ROOT) not in there and not getattr(context, "granary_shipped", False):
         folder = tempfile.mkdtemp()
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.addPyFile(shutil.make_archive(f"{folder}/granary-{context.applicationId}", "zip", ROOT, "granary"))
         context.granary_shipped = True
     return spark

@@ -23,7 +23,8 @@ def sales_workbook(spark: SparkSession, path: str, sheet: str = "Year 2010-2011"
     import pandas as pd
 
     sheet = pd.read_excel(path, sheet_name=sheet, dtype={"Invoice": str, "StockCode": str, "Description": str, "Country": str})
-    return spark.createDataFrame(sheet[RAW_SALES.names].astype(object).where(sheet[RAW_SALES.names].notna(), None), RAW_SALES)
+    plain = lambda v: None if pd.isna(v) else v.to_pydatetime() if isinstance(v, pd.Timestamp) else v
+    return spark.createDataFrame([tuple(map(plain, row)) for row in sheet[RAW_SALES.names].astype(object).itertuples(index=False)], RAW_SALES)
 
 
 def sales_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:
@@ -36,6 +37,11 @@ def stored(spark: SparkSession, name: str, columns: list[str] | None = None) ->
     return df.select(*columns) if columns else df
 
 
+def stored_in_order(spark: SparkSession, name: str, *by: str) -> DataFrame:
+    """A stored table in the order of some columns."""
+    return spark.table(name).orderBy(*by)
+
+
 def database_table(spark: SparkSession, options: dict[str, str], name: str, key: str | None = None, bounds: tuple[int, int] = (0, 0), parts: int = 1) -> DataFrame:
     """A table by JDBC; with a numeric ``key``, in ``parts`` parallel ranges."""
     reader = spark.read.format("jdbc").options(**options).option("dbtable", name)

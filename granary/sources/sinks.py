@@ -28,7 +28,18 @@ def create_if_missing(spark: SparkSession, name: str, schema: StructType) -> Non
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet")
 
 
-def log_run(spark: SparkSession, table: str, run: str, params: dict[str, object], metrics: dict[str, float]) -> None:
-    """Append a run's parameters and metrics, one row each."""
+def run_rows(spark: SparkSession, run: str, params: dict[str, object], metrics: dict[str, float], artifacts: dict[str, str] | None = None) -> DataFrame:
+    """A run's parameters, metrics and places of saved models, one row each."""
     rows = [(run, "param", k, str(v)) for k, v in params.items()] + [(run, "metric", k, repr(float(v))) for k, v in metrics.items()]
-    append_table(spark.createDataFrame(rows, RUNS), table)
+    return spark.createDataFrame(rows + [(run, "artifact", k, v) for k, v in (artifacts or {}).items()], RUNS)
+
+
+def log_run(spark: SparkSession, table: str, run: str, params: dict[str, object], metrics: dict[str, float], artifacts: dict[str, str] | None = None) -> None:
+    """Append a run to a table of runs."""
+    append_table(run_rows(spark, run, params, metrics, artifacts), table)
+
+
+def save_model(model, path: str) -> str:
+    """Write a fitted Spark ML model, replacing an earlier one; the path can be logged as an artifact."""
+    model.write().overwrite().save(path)
+    return path

@@ -37,6 +37,8 @@ def test_clean(spark):
     assert [f.name for f in out.schema] == TRANSACTIONS.names
     assert {r.invoice_no for r in out.collect()} == {"536365", "c1", None, "A1"}
     assert seen.get["rows"] == 4
+    with pytest.raises(ValueError, match="Price"):
+        cleaning.clean(sales.sales_rows(spark, rows).drop("Price"))
 
 
 def test_extras(spark):
@@ -123,10 +125,14 @@ def test_forecast(spark):
 
 
 def test_roundings(spark):
-    from granary.functions.numeric import round_scaled
+    from granary.functions.numeric import round_exact, round_scaled
 
     values = spark.createDataFrame([(2.675,), (0.125,), (1.005,), (0.375,)], "x double")
     assert [r[0] for r in values.select(round_scaled(F.col("x"))).collect()] == [2.68, 0.12, 1.0, 0.38]
+    rng = np.random.default_rng(1)
+    many = [2.675, 0.125, 1.005, 0.375, -2.675, -0.125, 0.0, 1e17, 123456789.125, 4.015, 1.115, *map(float, rng.integers(0, 10**7, 3000) / 1000), *map(float, rng.normal(0, 1e6, 2000))]
+    got = spark.createDataFrame([(x,) for x in many] + [(None,)], "x double").select("x", round_exact(F.col("x")).alias("r")).collect()
+    assert all(r.r == (None if r.x is None else round(r.x, 2)) for r in got)
 
 
 def test_segment(spark):
@@ -135,7 +141,7 @@ def test_segment(spark):
     assert got["metrics"] == {"days_since_last_purchase": 3, "total_lifetime_orders": 12, "total_monetary_spend": 2.67}
     assert got["segmentation"]["strategic_next_action"].startswith("Offer early access")
     assert serving.segment(df, 1)["segmentation"]["strategic_next_action"] == customers.OTHER_ACTION
-    assert serving.segments(df).count() == 2
+    assert {r.metrics.total_monetary_spend for r in serving.segments(df).collect()} == {2.67, 0.12}
     with pytest.raises(serving.NotFound):
         serving.segment(df, 2)
     assert serving.health()["status"] == "healthy"
@@ -156,6 +162,98 @@ def test_sarima_continues_a_seasonal_trend():
     assert forecasting.sarima(np.array([3.0, 4.0]), 2).tolist() == [4.0, 4.0] and forecasting.sarima(np.array([]), 1).tolist() == [0.0]
 
 
+def test_sarima_grid_finds_the_least_of_plain_recursions():
+    """Residuals of all coefficients at once equal the recursion written out, one at a time."""
+    rng = np.random.default_rng(3)
+    w = rng.normal(size=23)
+    grid = rng.uniform(-0.9, 0.9, (40, 3))
+    got = forecasting._sarima_residuals(w, *grid.T)
+    for (phi, seasonal, theta), row in zip(grid, got, strict=True):
+        e: list[float] = []
+        at = lambda t: w[t] if t >= 0 else 0.0
+        for t in range(len(w)):
+            e.append(at(t) - phi * at(t - 1) - seasonal * at(t - 4) + phi * seasonal * at(t - 5) - (theta * e[-1] if e else 0.0))
+        assert np.allclose(row, e)
+
+
+def test_yearly_weights_solve_ridge_regression(spark):
+    """Weights from sums of products equal the plain solution on the rows."""
+    y = [50 + i + 10 * np.sin(2 * np.pi * i / 52) for i in range(80)]
+    parts = forecasting.split(weeks(spark, {"a": map(int, y), "b": range(7)}))
+    termed = forecasting.yearly_terms(parts)
+    weights = {r.stock_code: r.weights for r in forecasting.yearly_weights(forecasting.normal_equations(termed)).collect()}
+    for code in "ab":
+        rows = [r for r in termed.where(F.col("stock_code") == code).collect() if r.part == "train"]
+        x = np.array([r.terms for r in rows])
+        keep = np.diag([1e-6, 1e-6, *[1.0] * 6])
+        assert np.allclose(x @ weights[code], x @ np.linalg.solve(x.T @ x + keep, x.T @ np.array([float(r.weekly_sales) for r in rows])), atol=1e-4)
+    assert forecasting.yearly_forecast(parts).count() == 16 + 2
+
+
+def test_lloyd_lowers_the_cost_and_keeps_empty_centers(spark):
+    rng = np.random.default_rng(1)
+    points = spark.createDataFrame([(float(i), *map(float, rng.normal(c, 0.3, 3))) for i, c in enumerate(np.repeat([0, 2, 5], 30))], "customer_id double, z_recency double, z_frequency double, z_monetary double")
+    start = [(0.5, 0.5, 0.5), (2.5, 2.5, 2.5), (4.0, 4.0, 4.0), (99.0, 99.0, 99.0)]
+    costs = []
+    for steps in (0, 1, 3):
+        centers, clustered = customers.lloyd(points, start, steps)
+        costs.append(sum(r.cost for r in customers.cost(clustered, centers).collect()))
+    assert costs[0] > costs[1] >= costs[2] and centers[3] == (99.0, 99.0, 99.0)
+
+
+def test_last_event_of_all_counts_without_a_customer(spark):
+    rows = [(1.0, "a", at("2024-01-01"), 1.0), (1.0, "b", at("2024-01-03"), 2.0), (None, "c", at("2024-01-09"), 9.0)]
+    events = spark.createDataFrame(rows, "who double, order string, ts timestamp_ntz, value double")
+    assert [tuple(r) for r in customers.profiles(events, "who", "order", "ts", F.col("value")).collect()] == [(1.0, 7, 2, 3.0)]
+
+
+def test_undated_sales_count_for_the_rank_only(spark):
+    df = transactions(spark, [sale("a", 5), sale("a", 9, date=None), sale("b", 8), sale("c", 7, date=None)])
+    assert [(r.stock_code, r.weekly_sales) for r in demand.weekly_demand(df, 1).collect()] == [("a", 5)]
+
+
+def test_known_products(spark):
+    codes = spark.createDataFrame([("a",), ("zz",), (None,)], "stock_code string")
+    assert {r.stock_code: r.found for r in serving.known(weeks(spark, {"a": [1]}), codes).collect()} == {"a": True, "zz": False, None: False}
+
+
+def test_workbook(spark, monkeypatch):
+    """The sheet as a reader hands it over; no reader of the format is installed here."""
+    import pandas as pd
+
+    sheet = pd.DataFrame([("536365", "85123A", None, 6, pd.Timestamp("2010-12-01 08:26"), 2.55, 17850.0, "X"), ("C1", "b", "d", -1, pd.NaT, 1.0, None, None)], columns=RAW_SALES.names)
+    monkeypatch.setattr(pd, "read_excel", lambda path, sheet_name, dtype: sheet)
+    rows = sales.sales_workbook(spark, "sales.xlsx").collect()
+    assert tuple(rows[0]) == ("536365", "85123A", None, 6, at("2010-12-01T08:26:00"), 2.55, 17850.0, "X")
+    assert rows[1].InvoiceDate is None and rows[1]["Customer ID"] is None
+
+
+def test_saved_model_predicts_as_before(spark, tmp_path):
+    from pyspark.ml.regression import GBTRegressionModel
+
+    parts = forecasting.split(demand.features(weeks(spark, {"a": [3, 9, 4, 8, 5, 7, 6, 9, 4, 8, 3, 9]})))
+    model = forecasting.fit_boosted_trees(parts)
+    path = sinks.save_model(model, f"{tmp_path}/trees")
+    predicted = lambda m: sorted((r.week, r.prediction) for r in forecasting.tree_predictions(m, parts).collect())
+    assert predicted(GBTRegressionModel.load(sinks.save_model(model, path))) == predicted(model)
+    assert ("r", "artifact", "model", path) in {tuple(r) for r in sinks.run_rows(spark, "r", {}, {}, {"model": path}).collect()}
+
+
+def test_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from granary.session import shared_dir
+
+    def named(master, root=None):
+        return SimpleNamespace(conf={"spark.checkpoint.dir": root} if root else {}, sparkContext=SimpleNamespace(master=master, applicationId="x"))
+
+    assert shared_dir(named("spark://h:1", "hdfs:///c/")) == "hdfs:///c/granary-x"
+    assert shared_dir(named("local[8]")).endswith("/granary-x")
+    for master in ("spark://h:1", "yarn", "local-cluster[3,2,3000]"):
+        with pytest.raises(ValueError):
+            shared_dir(named(master))
+
+
 def test_files_tables_and_runs(spark, tmp_path):
     raw = sales.sales_rows(spark, [sale(), sale(stock="b", customer=None)])
     raw.write.option("header", True).csv(f"{tmp_path}/csv")
