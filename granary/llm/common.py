@@ -10,13 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LOCAL_DIR = "/tmp/checkpoints/granary"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share; a local one only where none is set."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or LOCAL_DIR).rstrip('/')}/granary-{spark.sparkContext.applicationId}"
+from granary.session import shared_dir
 
+__all__ = ["arrow_map", "below", "dropped", "released", "shared_dir", "table", "written"]
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the table read back.
@@ -40,6 +36,12 @@ def dropped(df: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Delete what results of this application still read, once they are read."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
