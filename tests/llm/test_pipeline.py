@@ -1,7 +1,7 @@
 """The corpus pipeline, stage by stage, against brute force on a small fixture."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
@@ -24,7 +24,7 @@ def stages(spark, tmp_path_factory):
     texts = ["\n".join(line(rng.randint(10, 40)) for _ in range(rng.randint(2, 7))) for _ in range(40)]
     texts += [texts[3] + "\n" + passage, passage + "\n" + texts[7], texts[5], texts[6].replace(" ", "  ", 1)]
     texts += [" ".join(w if i % 90 else word() for i, w in enumerate(texts[k].replace("\n", " ").split())) for k in (1, 2)]
-    texts += [texts[9] + "\nwrite to jo.81@mail7.example.com or +1 (017) 555-7713.", "too short", "again " * 400, "", None]
+    texts += [texts[9] + "\nwrite to jo.81@mail7.example.com or +1 (017) 555-7713.\nAgain 017-555-7713, or 2024-01-02.", "too short", "again " * 400, "", None]
     rows = [(i, t, "en", "s", 0 if t is None else len(t)) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     out, at = [], str(tmp_path_factory.mktemp("stages"))
@@ -72,10 +72,14 @@ def test_near_dedup(stages):
 def test_personal_data(stages):
     before, after = rows(stages[3]), rows(stages[4])
     assert set(before) == set(after)
-    assert any("<EMAIL> or <PHONE>." in r.text for r in after.values())
+    assert any("<EMAIL> or <PHONE>.\nAgain <PHONE>, or 2024-01-02." in r.text for r in after.values())
+    counts: Counter = Counter()
+    for r in before.values():
+        counts.update(personal_data.counted(r.text))
+    crf = personal_data.Field([(*k, n) for k, n in counts.items()])
     for i, r in before.items():
         base = personal_data.base_spans(r.text)
-        assert after[i].text == personal_data.masked(r.text, base) and after[i].n_chars == len(after[i].text)
+        assert after[i].text == personal_data.masked(r.text, base + crf.added(r.text, base)) and after[i].n_chars == len(after[i].text)
 
 
 def test_packing(stages):
@@ -92,3 +96,22 @@ def test_run_equals_the_stages(spark, stages, tmp_path):
     stages[0].write.parquet(f"{tmp_path}/documents.parquet")
     key = lambda df: sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in df.collect())
     assert key(corpus_pipeline.run(spark, str(tmp_path))) == key(stages[5])
+
+
+def test_edge_rows_and_columns(spark, stages, tmp_path):
+    """Null and repeated doc_ids, null and empty texts, columns named as the operators' own, and an empty table."""
+    good = stages[4].where("doc_id < 6").select("doc_id", "text").collect()
+    rows = [(r.doc_id, r.text, 1, "a", 2, True) for r in good] + [(None, good[0].text + " more", 1, "b", 2, True), (good[1].doc_id, good[2].text + " other", 1, "c", 2, True), (good[3].doc_id, good[3].text, 1, "d", 2, False), (9, None, 1, "e", 2, True), (10, "", 1, "f", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_runs int, id string, content int, kept boolean")
+    for k, table in enumerate((docs, docs.limit(0))):
+        left = table
+        for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            after = stage(spark, left, str(tmp_path))
+            if n < 4:
+                assert after.columns == docs.columns
+                after.write.parquet(f"{tmp_path}/{k}-{n}")
+                left = spark.read.parquet(f"{tmp_path}/{k}-{n}")
+                kept = {(r.doc_id, r.id) for r in left.collect()}
+        # A row without a doc_id links nothing and stays; rows that repeat doc_id and text stay together.
+        assert k or kept == {*((r.doc_id, "a") for r in good), (None, "b"), (good[3].doc_id, "d")}, kept
+        assert (after.count() == 0) == (k == 1)
