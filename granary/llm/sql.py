@@ -124,19 +124,34 @@ JOIN near x ON x.doc_id = e.doc_id AND x.side = 1 JOIN near y ON y.doc_id = e.do
 
 
 def licence_sql() -> str:
-    cases = " ".join(f"WHEN regexp_matches(s, '{pattern}') THEN '{name}'" for name, pattern in licences.SENTENCES)
+    # From each line of a piece on, what is known there; words may stand on several lines.
+    known = "(?:" + "|".join(licences.wrapped(p) for _, p in licences.SENTENCES) + ")"
+    cases = " ".join(f"WHEN regexp_matches(x, '{pattern}') THEN '{name}'" for name, pattern in licences.SENTENCES)
     steps, last = [], "r0"
     for k, (name, ids) in enumerate(licences.RULES, 1):
         token = "".join(f",{i}," for i in ids)
         steps.append(f"r{k} AS (SELECT doc_id, sentence_ids, replace(rest, '{token}', '') AS rest, CASE WHEN contains(rest, '{token}') AND NOT list_contains(found, '{name}') THEN list_append(found, '{name}') ELSE found END AS found FROM {last})")
         last = f"r{k}"
+    hint = licences.HINT.replace(" ", r"\W+")
     return rf"""
-WITH s AS (
-  SELECT doc_id, list_transform(string_split(regexp_replace(coalesce(text, ''), '[.!?;][ \t\r\n]+', chr(10), 'g'), chr(10)),
-                                lambda s: trim(regexp_replace(lower(s), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))) AS ss
-  FROM documents
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text FROM documents
+), stops AS (
+  SELECT doc_id, regexp_replace(regexp_replace(text, '\b([vV])\. ', '\1 ', 'g'), '[.!?][ \t\r\n]+', chr(10) || chr(10), 'g') AS t FROM d WHERE regexp_matches(text, '(?i){hint}')
+), plain AS (
+  SELECT doc_id, regexp_replace(regexp_replace(lower(regexp_replace(t, ';[ \t\r]+([^ \t\r\n])', chr(10) || '\1', 'g')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g'), '(?m)^ ?(?:dnl|rem)(?: |$)', '', 'g') AS t FROM stops
+), pieces AS (
+  SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS k FROM (SELECT doc_id, regexp_split_to_array(t, '\n[ \n]*\n') AS ps FROM plain)
+), lines AS (
+  SELECT doc_id, k, string_split(trim(regexp_replace(p, ' ?\n ?', chr(10), 'g'), ' ' || chr(10)), chr(10)) AS ls FROM pieces
+), heads AS (
+  SELECT doc_id, k, i, regexp_extract(array_to_string(ls[i:], chr(10)), '^{known}') AS x FROM lines, LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i)
+), found AS (
+  SELECT *, coalesce(lag(x) OVER (PARTITION BY doc_id, k ORDER BY i), '') AS before FROM heads WHERE x <> ''
+), ids AS (
+  SELECT doc_id, list(CASE {cases} END ORDER BY k, i) AS ids FROM (SELECT doc_id, k, i, replace(x, chr(10), ' ') AS x FROM found WHERE NOT ends_with(before, chr(10) || x)) GROUP BY doc_id
 ), i AS (
-  SELECT doc_id, list_filter(list_transform(ss, lambda s: CASE {cases} END), lambda x: x IS NOT NULL) AS ids FROM s
+  SELECT d.doc_id, coalesce(list_filter(ids, lambda x: x IS NOT NULL), []) AS ids FROM d LEFT JOIN ids USING (doc_id)
 ), r0 AS (
   SELECT doc_id, array_to_string(ids, ',') AS sentence_ids, array_to_string(list_transform(ids, lambda x: ',' || x || ','), '') AS rest, CAST([] AS VARCHAR[]) AS found FROM i
 ), {", ".join(steps)}

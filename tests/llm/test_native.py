@@ -5,6 +5,7 @@ import random
 
 from granary.llm import licences, line_dedup, multiset_hash
 from granary.llm.common import below
+from granary.llm.sql import licence_sql
 from pyspark.sql import functions as F
 
 WS = " \t\n\x0b\x0c\r"
@@ -184,8 +185,8 @@ def test_licences(spark):
     docs = spark.createDataFrame([(i, t, "z") for i, t in texts.items()] + [(None, "Released under the MIT License", None)], "doc_id long, text string, rest string")
     got = {r.doc_id: (r.n_sentences, r.licences, r.unmatched) for r in licences.scan(docs).collect()}
     assert got == {
-        1: (5, "MIT,Proprietary", ""), 2: (4, "BSD-2-Clause", ""), 3: (5, "BSD-3-Clause", ""), 4: (3, "", "bsdSource,bsdGrant,bsdWarranty"), 5: (3, "Apache,MIT,CC-BY-NC", ""), 6: (0, "", ""), 7: (0, "", ""), 8: (0, "", ""),
-        9: (1, "GPL", ""), 10: (4, "Apache-2.0,MIT", ""), None: (1, "MIT", ""),
+        1: (5, "MIT,Proprietary", ""), 2: (4, "BSD-2-Clause", ""), 3: (5, "BSD-3-Clause", ""), 4: (3, "", "bsdSource,bsdGrant,bsdWarranty"), 5: (3, "Apache-2.0,MIT,CC-BY-NC-4.0", ""), 6: (0, "", ""), 7: (0, "", ""), 8: (0, "", ""),
+        9: (1, "GPL-3.0", ""), 10: (4, "Apache-2.0,MIT", ""), None: (1, "MIT", ""),
     }
     assert licences.scan(docs.limit(0)).count() == 0
 
@@ -242,8 +243,42 @@ def test_wrapped_licences(spark):
     mit, two = "copyright,mitGrant,mitNotice,mitWarranty", "bsdGrant,bsdSource,bsdBinary,bsdWarranty"
     three = two.replace("bsdWarranty", "bsdNames,bsdWarranty")
     assert got == {
-        1: (mit, "MIT"), 2: (three, "BSD-3-Clause"), 3: (two, "BSD-2-Clause"), 4: ("gplFree", "GPL"), 5: ("gplFree", "GPL"), 6: (mit, "MIT"), 7: (three, "BSD-3-Clause"), 8: (two, "BSD-2-Clause"), 9: ("gplFree", "GPL"), 10: (three, "BSD-3-Clause"),
-        11: ("spdx,apacheRef,apacheObtain", "Apache-2.0,SPDX"), 12: ("", ""), 13: ("gplFree", "GPL"),
+        1: (mit, "MIT"), 2: (three, "BSD-3-Clause"), 3: (two, "BSD-2-Clause"), 4: ("gpl3Free", "GPL-3.0"), 5: ("gpl3Free", "GPL-3.0"), 6: (mit, "MIT"), 7: (three, "BSD-3-Clause"), 8: (two, "BSD-2-Clause"), 9: ("gpl3Free", "GPL-3.0"), 10: (three, "BSD-3-Clause"),
+        11: ("spdx,apache2Ref,apacheObtain", "Apache-2.0,SPDX"), 12: ("", ""), 13: ("gpl3Free", "GPL-3.0"),
     }
     long = "this work\n" * 20000 + "\n" * 100_000 + "-" * 100_000 + "\nReleased under\nthe MIT License"
     assert licences.scan(spark.createDataFrame([(1, long)], "doc_id long, text string")).first().licences == "MIT"
+
+
+NOTICES = {
+    "GPL-2.0": WRAPPED_GPL.format(";").replace("version 3", "version 2"), "GPL-3.0": WRAPPED_GPL.format(":"),
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as\npublished by the Free Software Foundation, either version 3 of the\nLicense, or (at your option) any later version.",
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.example.org/licenses/LICENSE-2.0',
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one.",
+    "EPL-2.0": "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available elsewhere.",
+    "BSL-1.0": "Permission is hereby granted, free of charge, to any person or organization\nobtaining a copy of the software and accompanying documentation covered by\nthis license (the \"Software\") to use.",
+    "Zlib": "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice appear.", "0BSD": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted.",
+    "Unlicense": "This is free and unencumbered software released into the\npublic domain.", "WTFPL": " 0. You just DO WHAT THE FUCK YOU WANT TO.", "CC0-1.0": "This work is released under CC0.", "CC-BY-SA-4.0": "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.",
+}
+
+
+def test_notices_of_many_licences_and_their_sql(spark):
+    """Wrapped, under comment marks, and inside prose; the SQL says the same of all of them."""
+    import duckdb
+
+    texts, want = {}, {}
+    for k, (name, text) in enumerate(NOTICES.items()):
+        for form, body in enumerate((text, "\n".join(f"# {x}".rstrip() for x in text.split("\n")), f"Some prose. And more of it\n\n{text}\n\nThe end of the text", text.replace("\n", "\r\n"))):
+            texts[10 * k + form], want[10 * k + form] = body, name
+    for k, text in enumerate((WRAPPED_MIT, WRAPPED_BSD, MIT, "no licence here", None, "", "this work is licensed\nunder the MIT\nLicense\nlicensed under the MIT License", "Licensed under a v. 2 thing")):
+        texts[1000 + k] = text
+    rows = licences.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    got = {r.doc_id: r for r in rows}
+    assert {i: got[i].licences for i in want} == want
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(texts.items()))
+    sql = con.sql(licence_sql()).fetchall()
+    assert sorted(sql) == sorted((r.doc_id, r.n_sentences, r.sentence_ids, r.licences, r.unmatched) for r in rows)
