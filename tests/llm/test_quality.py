@@ -91,3 +91,48 @@ def test_short_texts_are_read_in_chunks():
     least, most = next(b[1:] for b in reversed(quality.BANDS) if b[0] <= 3500)
     ratio, n, outside, passes = quality.Bands()(b"same words again " * 70 + noise + prose[:800])
     assert least <= ratio <= most and n == 4 and outside > 1 and not passes
+
+
+def plain_verdict(text):
+    """Ratios and verdict from the rules as the docstring says them, a chunk at a time."""
+    import zstandard
+
+    ratio = lambda x: len(x) / len(zstandard.ZstdCompressor(level=3).compress(x))
+    if not text:
+        return 1.0, 0, 0, True
+    least, most = [b[1:] for b in quality.BANDS if b[0] <= len(text)][-1]
+    size, low, high = len(text), least, most
+    for c in (*quality.SHORT_CHUNKS, (quality.CHUNK, *quality.CHUNK_BAND)):
+        if len(text) >= 2 * c[0]:
+            size, low, high = c
+    outside = lost = n = 0
+    for at in range(0, len(text), size):
+        n += 1
+        part = text[at : at + size] if at + size <= len(text) else text[-size:]
+        if not low <= ratio(part) <= high:
+            outside += 1
+            lost += min(at + size, len(text)) - at
+    return ratio(text), n, outside, least <= ratio(text) <= most and lost / len(text) <= 0.25
+
+
+def test_verdicts_by_brute_force():
+    """Prose, noise, repetition and mixtures of all lengths, and which rule alone refuses them."""
+    rng = random.Random(6)
+    letters = "etaoinshrdlucmfwypvbgk"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(6000)]
+    prose = " ".join(rng.choice(words) for _ in range(30_000)).encode()
+    noise = bytes(rng.randrange(33, 256) for _ in range(150_000))
+    hexed = noise.hex().encode()
+    same = b"buy it now, buy it here; " * 6000
+    by_rule = Counter()
+    bands = quality.Bands()
+    for n in (0, 1, 100, 127, 255, 256, 400, 511, 513, 900, 1023, 1500, 2047, 3000, 4095, 4096, 5000, 8191, 20_000, 70_000, 140_000):
+        for name, text in (("prose", prose[:n]), ("noise", noise[:n]), ("hex", hexed[:n]), ("same", same[:n]), ("half noise", prose[: n // 2] + noise[: n - n // 2]), ("half same", prose[: n - n // 2] + same[: n // 2]), ("both", same[: n // 4] + noise[: n // 3] + prose[: n - n // 4 - n // 3])):
+            got = bands(text)
+            assert got == plain_verdict(text), (name, n)
+            least, most = [b[1:] for b in quality.BANDS if b[0] <= n][-1]
+            by_rule["low" if got[0] < least else "high" if got[0] > most else "chunks" if not got[3] else "kept"] += 1
+            assert got[3] or name != "prose", n
+            assert not got[3] or name not in ("noise", "same") or n < 256, (name, n)
+    # Too repetitive, incompressible, and refused by chunks alone: each rule refuses some.
+    assert min(by_rule["low"], by_rule["high"], by_rule["chunks"]) > 5, by_rule
