@@ -68,7 +68,8 @@ def combinations(window: int, depth: int = 3) -> np.ndarray:
 
 def solve(histogram: np.ndarray, rows: np.ndarray, steps: int = 400) -> np.ndarray:
     """Non-negative least squares min |A x - histogram| by accelerated projected
-    gradients; column j of A counts the lengths in ``rows[j]``."""
+    gradients; column j of A counts the lengths in ``rows[j]``. A length's square counts
+    by one over the combinations that hold it, so that all lengths are fitted alike."""
     n = len(histogram)
 
     def fill(x: np.ndarray) -> np.ndarray:

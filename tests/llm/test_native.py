@@ -188,6 +188,8 @@ def test_licences(spark):
         1: (5, "MIT,Proprietary", ""), 2: (4, "BSD-2-Clause", ""), 3: (5, "BSD-3-Clause", ""), 4: (3, "", "bsdSource,bsdGrant,bsdWarranty"), 5: (3, "Apache-2.0,MIT,CC-BY-NC-4.0", ""), 6: (0, "", ""), 7: (0, "", ""), 8: (0, "", ""),
         9: (1, "GPL-3.0", ""), 10: (4, "Apache-2.0,MIT", ""), None: (1, "MIT", ""),
     }
+    again = spark.createDataFrame([(1, "Released under the MIT License"), (1, "Released under the MIT License"), (1, None)], "doc_id long, text string")
+    assert sorted(r.licences for r in licences.scan(again).collect()) == ["", "MIT", "MIT"]
     assert licences.scan(docs.limit(0)).count() == 0
 
 

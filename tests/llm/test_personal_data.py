@@ -167,4 +167,6 @@ def test_rows_consistency_and_masks(spark):
     assert clean.schema == docs.schema
     out = {r.doc_id: r.text for r in clean.collect()}
     assert out[3] == "call <PHONE> now. Later: <PHONE> or <PHONE>." and out[0] is None and out[None] == "<PHONE>" and out[2] == texts[2]
+    again = spark.createDataFrame([(1, phone), (1, phone), (None, phone), (None, None)], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.n_phone) for r in pd.found(again).collect()) == [("1", 1), ("1", 1), ("None", 0), ("None", 1)]
     assert pd.found(docs.limit(0)).count() == 0 and pd.redacted(docs.limit(0)).count() == 0

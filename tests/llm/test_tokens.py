@@ -194,3 +194,28 @@ def test_plan_pads_little():
     plan = packing.plan(dict(zip(lengths.tolist(), n.tolist(), strict=True)))
     sequences = sum(k for _, k in plan)
     assert (lengths * n).sum() / (1024 * sequences) > 0.99
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.integers(0, 60), min_size=17, max_size=17))
+def test_solution_is_the_non_negative_optimum(counts):
+    """Conditions of an optimum: no combination that is used or unused would lower the weighted squares."""
+    histogram = np.array([0, *counts[1:]], float)
+    rows = packing.combinations(16)
+    x = packing.solve(histogram, rows, steps=6000)
+    a = np.stack([np.bincount(row, minlength=17) for row in rows], 1).astype(float)
+    a[0] = 0
+    weight = 1 / np.maximum(a.sum(1), 1)
+    pull = a.T @ (weight * (histogram - a @ x))  # how fast the squares fall with each repeat count
+    assert (x >= 0).all() and pull.max(initial=0) < 1e-2 and np.abs(pull[x > 1e-2]).max(initial=0) < 1e-2
+
+
+def test_null_and_repeated_rows(spark):
+    """A null doc_id and rows that repeat one are rows like others, in the round trip and in packing."""
+    docs = spark.createDataFrame([(None, "a b", 1), (3, "c d e", 2), (3, "c d e", 3), (3, "other", 4), (None, None, 5)], "doc_id long, text string, n_tokens int")
+    count = lambda t, tok: len(tok.encode(t, add_special_tokens=False).ids)
+    got = sorted((str(r.doc_id), r.n_tokens) for r in transducer.round_trip(docs, WORD).collect())
+    assert got == sorted([("None", count("a b", library)), ("3", count("c d e", library)), ("3", count("c d e", library)), ("3", count("other", library)), ("None", 0)])
+    rows = packing.pack(docs, BYTE, RANKS).collect()
+    assert sorted((str(r.doc_id), r.doc_tokens) for r in rows) == sorted([("None", count("a b", byte_library) + 1), ("3", count("c d e", byte_library) + 1), ("3", count("c d e", byte_library) + 1), ("3", count("other", byte_library) + 1), ("None", 1)])
+    assert {r.sequence_id for r in rows} == {0} and sorted(r.offset for r in rows) == list(np.cumsum([0] + [r.length for r in sorted(rows, key=lambda r: r.offset)])[:-1])

@@ -101,6 +101,8 @@ def test_edge_rows(scored):
 
 def test_empty_tables(scored, spark):
     docs, marks, _, _ = scored
+    some = docs.where("doc_id < 40")
+    assert sorted((r.doc_id, r.score) for r in tox.scored(some.union(some), marks).collect())[::2] == sorted((r.doc_id, r.score) for r in tox.scored(some.union(some), marks).collect())[1::2]
     assert tox.scored(docs.limit(0), marks).count() == 0
     assert {r.score for r in tox.scored(docs.where("doc_id < 5"), marks.limit(0)).collect()} == {0.5}
 
