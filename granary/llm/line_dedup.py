@@ -67,10 +67,11 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """id, content, first, last: maximal runs of lines that stand anywhere before."""
     runs = written(line_runs(docs, min_words), "runs")
     prints = runs.select("id", "content", "at", "print").distinct()
-    shared = prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
+    # Tables of their own here and below, so that a join does not share an aggregate's partitions and its hot keys can be split.
+    shared = written(prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"), "shared-prints")
     some = written(runs.join(shared, "print", "left_semi"), "shared-runs")
     position = F.struct(F.col("id").isNull().alias("unnamed"), "id", "content", F.col("first").alias("line"))
-    earliest = some.groupBy("print", "lines").agg(F.min(position).alias("earliest"), F.count("*").alias("n")).where("n > 1")
+    earliest = written(some.groupBy("print", "lines").agg(F.min(position).alias("earliest"), F.count("*").alias("n")).where("n > 1"), "first-positions")
     again = some.join(earliest, ["print", "lines"]).where(position != F.col("earliest"))
     order = Window.partitionBy("id", "content").orderBy("first")
     before = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -78,8 +79,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     marked = again.select("id", "content", "first", "last", opens.alias("opens"))
     joined = marked.withColumn("run", F.sum("opens").over(order)).groupBy("id", "content", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     found = written(joined.drop("run"), "repeated-runs")
-    dropped(runs)
-    dropped(some)
+    for old in (runs, shared, some, earliest):
+        dropped(old)
     return found
 
 
