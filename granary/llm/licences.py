@@ -124,7 +124,7 @@ HINT = r"licen[sc]e|permission|redistribution|software is provided|neither the n
 
 def wrapped(pattern: str) -> str:
     """A beginning of a sentence, as it stands at a line's start; words may stand on several lines."""
-    return pattern.removeprefix("^").replace("identifier .+", r"identifier [^\n]+").replace(".+", r"[\s\S]+?").replace(" ", r"[ \n]").replace("($|", "(")
+    return pattern.removeprefix("^").replace("identifier .+", r"identifier [^\n]+").replace(".+", r"[\s\S]+?").replace(" ", r"[ \n]")
 
 
 #: Known sentences at a line's start, first match wins.
