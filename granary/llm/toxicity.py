@@ -17,6 +17,7 @@ and no other column but the text is read for a score.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -96,7 +97,8 @@ class Channel:
         smooth = pairs / pairs.sum(1, keepdims=True)
         self.log = np.log((model + 2 * smooth[None]) / (model.sum(2, keepdims=True) + 2)).tolist()
         self.memo: dict[str, tuple[str, ...]] = {}
-        self.chunks: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {}
+        self.plain: set[str] = set()  # chunks that hide nothing
+        self.hidden: dict[str, tuple[str, ...]] = {}
 
     def decode(self, chunk: str) -> tuple[str, ...]:
         """Best words for a chunk: one reading with the separators dropped, and its parts between them."""
@@ -158,51 +160,66 @@ class Channel:
             out.append(letter)
         return "".join(reversed(out))
 
-    def chunk(self, chunk: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
-        """Plain and restored words of a lower-cased run without white space."""
-        got = self.chunks.get(chunk)
+    def chunk(self, chunk: str) -> tuple[str, ...]:
+        """Words that a lower-cased run without white space hides, besides its plain ones."""
+        got = self.hidden.get(chunk)
         if got is None:
             words = WORD.findall(chunk)
             found: set[str] = set()
-            if self.decoding:
-                if not chunk.isalpha():
-                    for m in HIDDEN.finditer(chunk):
-                        found.update(self.decode(m[0]))
-                    for pattern in (MIXED, JOINED):
-                        for m in pattern.finditer(chunk):
-                            found.update(self.restored(m[0]))
-                for w in [w for w in (*words, *found) if STRETCHED.search(w) or not w.isascii() and FOREIGN.match(w)]:
-                    found.update(self.decode(w))
-            got = tuple(words), tuple(found.difference(words))
-            if len(self.chunks) < 300_000 and len(chunk) < 64:
-                self.chunks[chunk] = got
+            if not chunk.isalpha():
+                for m in HIDDEN.finditer(chunk):
+                    found.update(self.decode(m[0]))
+                for pattern in (MIXED, JOINED):
+                    for m in pattern.finditer(chunk):
+                        found.update(self.restored(m[0]))
+            for w in [w for w in (*words, *found) if STRETCHED.search(w) or not w.isascii() and FOREIGN.match(w)]:
+                found.update(self.decode(w))
+            got = tuple(found.difference(words))
+            if len(chunk) < 64:
+                if not got and len(self.plain) < 300_000:
+                    self.plain.add(chunk)
+                elif got and len(self.hidden) < 100_000:
+                    self.hidden[chunk] = got
         return got
 
     def features(self, text: str) -> set[str]:
         """Lower-cased words of a text, plain and restored, and frequent stems of both (marked by a star)."""
         text = text.lower()
-        out: set[str] = set()
-        stems: Counter = Counter()
-        n = 0
+        words = WORD.findall(text)
+        out = set(words)
+        stems = Counter([w[:STEM] for w in words])
 
-        def take(words: tuple[str, ...], times: int) -> None:
-            out.update(words)
-            for w in words:
+        def take(restored: tuple[str, ...], times: int) -> None:
+            out.update(restored)
+            for w in restored:
                 stems[w[:STEM]] += times
 
-        for chunk, times in Counter(text.split()).items():
-            plain, restored = self.chunk(chunk)
-            n += times * len(plain)
-            take(plain, times)
-            take(restored, times)
         if self.decoding:
+            chunks = text.split()
+            hiding = [(c, got) for c in set(chunks) - self.plain if (got := self.chunk(c))]
+            if hiding:
+                times = Counter(chunks)
+                for c, got in hiding:
+                    take(got, times[c])
             for m in SPELLED.finditer(text):
                 take(tuple(w for w in self.decode(m[0]) if w), 1)
-        least = max(STEM_WORDS, STEM_RATE * n / 1000)
-        out.update(f"{stem}*" for stem, k in stems.items() if k >= least and len(stem) == STEM)
+        least = max(STEM_WORDS, STEM_RATE * len(words) / 1000)
+        out.update([stem + "*" for stem, k in stems.items() if k >= least and len(stem) == STEM])
         return out
 
 
+_channels: dict[bytes, Channel] = {}
+
+
+def channel_of(counts: np.ndarray, lexicon: list[str], decoding: bool = True) -> Channel:
+    """The channel of these counts and words, kept by a Python worker from task to task, so its memos stay warm."""
+    key = hashlib.sha256(counts.tobytes() + repr((sorted(lexicon), decoding)).encode()).digest()
+    if key not in _channels:
+        _channels.clear()
+        _channels[key] = Channel(counts, lexicon, decoding)
+    return _channels[key]
+
+
 _codes = np.full(256, 0, np.int64)
 _codes[[ord(c) for c in LETTERS]] = range(1, 27)
 _codes[[ord(c) for c in LETTERS.upper()]] = range(1, 27)
@@ -245,7 +262,7 @@ def word_counts(sample: DataFrame, counts: np.ndarray, lexicon: list[str] | None
     """(word, n1, n0): sample rows of either label that have the feature."""
 
     def make():
-        channel = Channel(counts, lexicon or [], decoding)
+        channel = channel_of(counts, lexicon or [], decoding)
 
         def work(batch: pa.RecordBatch):
             found: tuple[Counter, Counter] = (Counter(), Counter())
@@ -318,7 +335,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, decoding:
     index = {w: i for i, w in enumerate(words)}
 
     def make():
-        channel = Channel(counts, words, decoding)
+        channel = channel_of(counts, words, decoding)
 
         def work(batch: pa.RecordBatch):
             found = [sorted(index[w] for w in channel.features(t or "") & index.keys()) for t in batch.column(0).to_pylist()]
@@ -352,7 +369,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, dec
     model = fit(docs, labels, decoding=decoding, **fitting)
 
     def make():
-        channel = Channel(model.counts, sorted(model.weights), decoding)
+        channel = channel_of(model.counts, sorted(model.weights), decoding)
 
         def work(batch: pa.RecordBatch):
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
