@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import alignment, licences, line_dedup, multiset_hash, near_dups, packing, personal_data, quality, sql, token_files, toxicity, transducer
+from granary.llm import alignment, licences, line_dedup, main_text, multiset_hash, near_dups, packing, personal_data, quality, sql, token_files, toxicity, transducer
 from granary.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digest(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op11_main_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licence_sentences": op8_licence_sentences,
     "op9_noisy_channel_toxicity": op9_noisy_channel_toxicity,
     "op10_token_files": op10_token_files,
+    "op11_main_text_density": op11_main_text_density,
     "op12_tokenizer_alignment": op12_tokenizer_alignment,
 }
 
