@@ -1,46 +1,19 @@
-"""Shared helpers: written intermediate tables, Arrow maps, id neighbours."""
+"""Shared helpers: tables of a folder, Arrow maps."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from granary.operators.numbering import below
 from granary.session import shared_dir
+from granary.tables import dropped, released, written
 
 __all__ = ["arrow_map", "below", "dropped", "released", "shared_dir", "table", "written"]
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return the table read back.
-
-    Cuts lineage so that a lost executor never costs more than the last table,
-    and an expensive scan (tokenising, hashing) is made once.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back.granary_path = path
-    return back
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete a table that :func:`written` made, when no later step reads it."""
-    spark, path = df.sparkSession, getattr(df, "granary_path", None)
-    if path:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def released(spark: SparkSession) -> None:
-    """Delete what results of this application still read, once they are read."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -63,28 +36,3 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
                 yield pa.RecordBatch.from_arrays([x if isinstance(x := out[f.name], pa.Array) and x.type == f.type else x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, schema)
-
-
-def below(ids: DataFrame, key: str, step: int = 1024) -> DataFrame:
-    """For each distinct non-null long ``key`` the next smaller one (null for the least).
-
-    Keys are bucketed by ``key div step``, so a window partition holds at most
-    ``step`` keys; the buckets themselves are resolved the same way, a level
-    higher. No level gathers all keys in one task.
-    """
-    from pyspark.sql import Window
-
-    keys = ids.select(F.col(key).cast("long").alias("k")).where("k is not null").distinct()
-
-    def level(ks: DataFrame, depth: int) -> DataFrame:
-        if depth == 0:
-            return ks.select("k", F.max("k").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)).alias("prev"))
-        b = ks.select("k", F.floor(F.col("k") / step).alias("b"))
-        inside = b.withColumn("prev", F.lag("k").over(Window.partitionBy("b").orderBy("k")))
-        tops = b.groupBy("b").agg(F.max("k").alias("top"))
-        near = level(tops.select(F.col("b").alias("k")), depth - 1).select(F.col("k").alias("b"), F.col("prev").alias("pb"))
-        tops = tops.select(F.col("b").alias("pb"), "top")
-        out = inside.join(near, "b").join(tops, "pb", "left")
-        return out.select("k", F.coalesce("prev", "top").alias("prev"))
-
-    return level(keys, 3).select(F.col("k").alias(key), F.col("prev").alias("below"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import alignment, licences, line_dedup, main_text, multiset_hash, near_dups, packing, personal_data, quality, sql, token_files, toxicity, transducer
+from granary.llm import alignment, licences, line_dedup, main_text, multiset_hash, near_dups, packing, personal_data, quality, resampling, sql, token_files, toxicity, transducer
 from granary.llm.common import table
 
 
@@ -65,6 +65,10 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dups": op1_minhash_near_dups,
     "op2_compression_bands": op2_compression_bands,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_files": op10_token_files,
     "op11_main_text_density": op11_main_text_density,
     "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLES: dict[str, str] = {
@@ -85,4 +90,5 @@ ORACLES: dict[str, str] = {
     "op4_winnowing_line_dedup": sql.line_dedup_sql(),
     "op6_multiset_hash": sql.multiset_hash_sql(),
     "op8_licence_sentences": sql.licence_sql(),
+    "op13_importance_resampling": sql.RESAMPLING,
 }

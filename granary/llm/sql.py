@@ -159,3 +159,25 @@ SELECT doc_id, CAST(CASE WHEN sentence_ids = '' THEN 0 ELSE len(string_split(sen
        array_to_string(found, ',') AS licences, trim(replace(rest, ',,', ','), ',') AS unmatched
 FROM {last}
 """
+
+
+#: Words by pattern, their checksum bit by bit, gains and noise as they are defined, ranks over all scores.
+RESAMPLING = r"""
+WITH steps AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+texts AS (SELECT row_number() OVER () AS row, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+words AS (SELECT row, doc_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM texts),
+target AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+counts AS (SELECT row, w, count(*) AS n FROM (SELECT row, unnest(ws) AS w FROM words) GROUP BY row, w),
+known AS (SELECT DISTINCT w FROM counts UNION SELECT DISTINCT w FROM target),
+hexes AS (SELECT w, hex(encode(w)) AS h FROM known),
+buckets AS (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(h) // 2), lambda k: ('0x' || substr(h, 2 * k + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM hexes, steps),
+s AS (SELECT bucket, sum(n) AS n FROM counts JOIN buckets USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM target JOIN buckets USING (w) GROUP BY bucket),
+gains AS (SELECT i AS bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)::DOUBLE / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM range(10000) r(i) LEFT JOIN s ON s.bucket = i LEFT JOIN t ON t.bucket = i),
+sums AS (SELECT row, sum(n * gain) AS total FROM counts JOIN buckets USING (w) JOIN gains USING (bucket) GROUP BY row),
+weights AS (SELECT doc_id, len(ws) AS n_features, CASE WHEN len(ws) > 0 THEN floor(total / len(ws)) ELSE 0 END::BIGINT AS weight, ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM words LEFT JOIN sums USING (row)),
+scores AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM weights),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS nth, count(*) OVER (PARTITION BY n_features >= 20) AS of FROM scores)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN n_features >= 20 AND nth <= floor(10 * of / 100) THEN nth END AS rank FROM ranked
+"""
