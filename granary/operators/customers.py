@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.calendar import elapsed_days
 from granary.functions.numeric import exact_sum, standardised
+from granary.operators import segmenting
 
 METRICS = ("recency", "frequency", "monetary")
 #: Labels from the least to the greatest mean monetary value.
@@ -82,19 +83,8 @@ def cost(clustered: DataFrame, centers: list[tuple[float, ...]], places: int = 6
 
 
 def k_means(points: DataFrame, k: int = 4, starts: int = 10, seed: int = 42, steps: int = 300) -> tuple[DataFrame, float]:
-    """Adds ``cluster`` by the best of several K-Means runs on the scaled metrics; also its cost."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    vectors = VectorAssembler(inputCols=[f"z_{m}" for m in METRICS], outputCol="features").transform(points).persist()
-    try:
-        models = [KMeans(k=k, seed=seed + i, maxIter=steps, tol=1e-4).fit(vectors) for i in range(starts)]
-        best = min(models, key=lambda m: m.summary.trainingCost)
-        cost = best.summary.trainingCost
-    finally:
-        vectors.unpersist()
-    out = best.transform(VectorAssembler(inputCols=[f"z_{m}" for m in METRICS], outputCol="features").transform(points))
-    return out.withColumnRenamed("prediction", "cluster").drop("features"), cost
+    """Adds ``cluster`` by the best of several K-Means runs on the scaled metrics, from k-means++ starts; also its cost."""
+    return segmenting.k_means(points, [f"z_{m}" for m in METRICS], "customer_id", k, starts, seed, steps)
 
 
 def cluster_labels(clustered: DataFrame) -> DataFrame:

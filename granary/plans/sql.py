@@ -88,6 +88,30 @@ def _lloyd(steps: int) -> str:
     return f"{', '.join(parts)} SELECT CAST(cluster AS INTEGER) AS cluster, count(*) AS customer_count, round(CAST(sum(CAST(CASE cluster {own} END AS DECIMAL(18,10))) AS DOUBLE), 4) AS cost FROM a{steps} GROUP BY cluster"
 
 
+def _k_means(k: int = 4, starts: int = 10, seed: int = 42, steps: int = 300) -> str:
+    """k-means++ starts, steps of all of them until they stay, the best one, and labels by mean monetary value."""
+    far = lambda c: " + ".join(f"(u{i} - {c}[{i + 1}]) * (u{i} - {c}[{i + 1}])" for i in range(3))
+    parts = ["""u AS (SELECT *, CAST(CAST(customer_id AS DECIMAL(20,2)) AS VARCHAR) AS key, CAST(round_even(round(z_recency, 6) * 1000000, 0) AS BIGINT) AS u0,
+        CAST(round_even(round(z_frequency, 6) * 1000000, 0) AS BIGINT) AS u1, CAST(round_even(round(z_monetary, 6) * 1000000, 0) AS BIGINT) AS u2 FROM z)"""]
+    chance = "(CAST('0x' || substr(sha256('{}:' || CAST(s AS VARCHAR) || ':{}:' || key), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296"
+    parts.append(f"c0 AS (SELECT s, [arg_min([u0, u1, u2], -ln({chance.format(seed, 0)}))] AS cs FROM u, range({starts}) r(s) GROUP BY s)")
+    for n in range(1, k):
+        least = ", ".join(far(f"cs[{i + 1}]") for i in range(n))
+        parts.append(f"""c{n} AS (SELECT s, list_append(any_value(cs), arg_min([u0, u1, u2], -ln({chance.format(seed, n)}) / rate) FILTER (WHERE rate > 0)) AS cs
+            FROM (SELECT u.*, s, cs, least({least}) AS rate FROM u, c{n - 1}) GROUP BY s)""")
+    which = " ".join(f"WHEN {far(f'cs[{i + 1}]')} = least({', '.join(far(f'cs[{j + 1}]') for j in range(k))}) THEN {i}" for i in range(k))
+    mean = "CAST((2 * sum(u{0}) FILTER (WHERE own = {1}) + count(*) FILTER (WHERE own = {1}) + 2 * count(*) FILTER (WHERE own = {1}) * 1000000000::HUGEINT) // (2 * count(*) FILTER (WHERE own = {1})) - 1000000000 AS BIGINT)"
+    means = ", ".join(f"CASE WHEN count(*) FILTER (WHERE own = {i}) = 0 THEN any_value(cs)[{i + 1}] ELSE [{', '.join(mean.format(j, i) for j in range(3))}] END" for i in range(k))
+    parts.append(f"""moves AS (SELECT 0 AS step, s, cs, true AS moved FROM c{k - 1} UNION ALL
+        SELECT step + 1, s, new, new != cs FROM (SELECT any_value(step) AS step, s, any_value(cs) AS cs, [{means}] AS new FROM (SELECT u0, u1, u2, step, s, cs, CASE {which} END AS own FROM u, moves WHERE moved AND step < {steps}) GROUP BY s))""")
+    parts.append("ends AS (SELECT s, arg_max(cs, step) AS cs FROM moves GROUP BY s)")
+    parts.append(f"best AS (SELECT cs FROM (SELECT s, any_value(cs) AS cs, sum(least({', '.join(far(f'cs[{j + 1}]') for j in range(k))})) AS cost FROM u, ends GROUP BY s) ORDER BY cost, s LIMIT 1)")
+    parts.append(f"kc AS (SELECT customer_id, recency, frequency, monetary, CAST(CASE {which} END AS INTEGER) AS cluster FROM u, best)")
+    names = ", ".join(f"'{x}'" for x in LABELS)
+    parts.append(f"kl AS (SELECT cluster, [{names}][row_number() OVER (ORDER BY avg(monetary), cluster)] AS segment_label FROM kc GROUP BY cluster)")
+    return f"WITH RECURSIVE {SCALED}, {', '.join(parts)} SELECT customer_id, recency, frequency, monetary, cluster, segment_label FROM kc JOIN kl USING (cluster)"
+
+
 def _sarima() -> str:
     """The recursion of residuals and of forecasts of the seasonal model with given coefficients."""
     phi, seasonal, theta = (f"CAST({c} AS DOUBLE)" for c in COEFFICIENTS)
@@ -167,6 +191,7 @@ ORACLES: dict[str, str] = {
     "stored_tables": f"""WITH {RAW} SELECT 'created' AS step, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS total_quantity UNION ALL SELECT 'appended', count(*), CAST(sum(quantity) AS BIGINT) FROM t
         UNION ALL SELECT 'appended again', 2 * count(*), CAST(2 * sum(quantity) AS BIGINT) FROM t UNION ALL SELECT 'replaced', count(*), CAST(sum(quantity) AS BIGINT) FROM t WHERE quantity > 25""",
     "k_means_fixed_start": f"WITH {SCALED}, {_lloyd(STEPS)}",
+    "k_means_segments": _k_means(),
     "sarima_fixed": _sarima(),
     "yearly_normal_equations": _normal_equations(),
 }
