@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.numeric import round_scaled
+from granary.operators import boosting
 from granary.operators.demand import latest
 
 GROWTH = 0.02
@@ -51,7 +52,7 @@ def _tree_rows(parts: DataFrame) -> DataFrame:
 
 
 def fit_boosted_trees(parts: DataFrame):
-    """Gradient-boosted trees on the lag features of the train part; a model that Spark can write and load."""
+    """Spark's first-order boosted trees on the lag features of the train part; a model that Spark can write and load."""
     from pyspark.ml.regression import GBTRegressor
 
     return GBTRegressor(labelCol="weekly_sales", maxIter=100, stepSize=0.05, maxDepth=4, seed=42).fit(_tree_rows(parts).where("part = 'train'"))
@@ -63,8 +64,8 @@ def tree_predictions(model, parts: DataFrame) -> DataFrame:
 
 
 def boosted_trees(parts: DataFrame) -> DataFrame:
-    """Predictions on the test part by trees fitted on the train part."""
-    return tree_predictions(fit_boosted_trees(parts), parts)
+    """Predictions on each product's test part by second-order boosted trees of its train part."""
+    return boosting.predict_products(boosting.fit_products(parts), parts.where("part = 'test'"))
 
 
 def _sarima_residuals(w: np.ndarray, phi: np.ndarray, seasonal: np.ndarray, theta: np.ndarray) -> np.ndarray:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from granary import serving
 from granary.functions.calendar import week_ending
-from granary.operators import customers, demand, forecasting, revenue
+from granary.operators import boosting, customers, demand, forecasting, revenue
 from granary.operators.cleaning import clean, net_of_cancellations, with_amount
 from granary.plans.sql import CENTERS, COEFFICIENTS, STEPS
 from granary.schemas import TRANSACTIONS
@@ -151,7 +151,13 @@ def k_means_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def gbt_forecast(spark: SparkSession, folder: str) -> DataFrame:
-    return forecasting.boosted_trees(_top_parts(spark, folder))
+    return forecasting.boosted_trees(forecasting.split(_features(spark, folder)))
+
+
+def boosted_first_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Splits and leaves of every product's first tree."""
+    nodes = boosting.fit_products(forecasting.split(_features(spark, folder)), boosting.Boosting(trees=1)).where("tree = 0")
+    return nodes.select("stock_code", "node", "feature", F.round("cut", 6).alias("cut"), F.round("value", 6).alias("value"), "n")
 
 
 def sarima_forecast(spark: SparkSession, folder: str) -> DataFrame:
@@ -248,7 +254,7 @@ def saved_model_runs(spark: SparkSession, folder: str) -> DataFrame:
     from pyspark.ml.regression import GBTRegressionModel
 
     parts = _top_parts(spark, folder)
-    path = sinks.save_model(forecasting.fit_boosted_trees(parts), f"{shared_dir(spark)}/models/boosted-trees")
+    path = sinks.save_model(forecasting.fit_boosted_trees(parts), f"{shared_dir(spark)}/models/boosted-trees-{uuid.uuid4().hex}")
     m = forecasting.metrics(forecasting.tree_predictions(GBTRegressionModel.load(path), parts)).first()
     return sinks.run_rows(spark, "Boosted_Trees", {"trees": 100, "depth": 4, "rate": 0.05}, {"MAPE": m.mape, "RMSE": m.rmse}, {"model": path})
 
@@ -280,6 +286,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "naive_metrics": naive_metrics,
     "k_means_segments": k_means_segments,
     "gbt_forecast": gbt_forecast,
+    "boosted_first_tree": boosted_first_tree,
     "sarima_forecast": sarima_forecast,
     "yearly_forecast": yearly_forecast,
     "model_comparison": model_comparison,

@@ -112,6 +112,22 @@ def _k_means(k: int = 4, starts: int = 10, seed: int = 42, steps: int = 300) ->
     return f"WITH RECURSIVE {SCALED}, {', '.join(parts)} SELECT customer_id, recency, frequency, monetary, cluster, segment_label FROM kc JOIN kl USING (cluster)"
 
 
+def _first_tree(depth: int = 4, rate: float = 0.05, penalty: float = 1.0) -> str:
+    """A tree by trying every cut of every feature at every node, a level after the other."""
+    parts = [f"""{PARTS}, tr AS (SELECT stock_code, [lag_1_week, lag_2_week, rolling_4_wk_avg, CAST(month AS DOUBLE)] AS x, CAST(weekly_sales AS DOUBLE) AS y FROM parts WHERE part = 'train'),
+        cv AS (SELECT stock_code, f, cut FROM (SELECT DISTINCT stock_code, f, x[f + 1] AS cut FROM tr, range(4) r(f)) QUALIFY row_number() OVER (PARTITION BY stock_code, f ORDER BY cut) > 1),
+        r0 AS (SELECT stock_code, 0 AS node, x, avg(y) OVER (PARTITION BY stock_code) - y AS g FROM tr)"""]
+    score = lambda g, n: f"pow({g}, 2) / ({n} + {penalty})"
+    for d in range(depth):
+        parts.append(f"""t{d} AS (SELECT stock_code, node, f, cut, sum(g) AS g, count(*) AS n, sum(g) FILTER (WHERE x[f + 1] < cut) AS lg, count(*) FILTER (WHERE x[f + 1] < cut) AS ln_ FROM r{d} JOIN cv USING (stock_code) GROUP BY ALL),
+            s{d} AS (SELECT stock_code, node, f, cut, n FROM (SELECT *, round({score("lg", "ln_")} + {score("(g - lg)", "(n - ln_)")} - {score("g", "n")}, 6) AS gain FROM t{d} WHERE ln_ > 0 AND ln_ < n)
+              WHERE gain > 1e-6 QUALIFY row_number() OVER (PARTITION BY stock_code, node ORDER BY gain DESC, f, cut) = 1),
+            r{d + 1} AS (SELECT stock_code, 2 * node + 1 + CASE WHEN x[f + 1] >= cut THEN 1 ELSE 0 END AS node, x, g FROM r{d} JOIN s{d} USING (stock_code, node))""")
+    inner = " UNION ALL ".join(f"SELECT stock_code, CAST(node AS INTEGER) AS node, CAST(f AS INTEGER) AS feature, round(cut, 6) AS cut, CAST(NULL AS DOUBLE) AS value, n FROM s{d}" for d in range(depth))
+    leaves = " UNION ALL ".join(f"SELECT stock_code, node, g FROM r{d}" + (f" ANTI JOIN s{d} USING (stock_code, node)" if d < depth else "") for d in range(depth + 1))
+    return f"WITH {', '.join(parts)} {inner} UNION ALL SELECT stock_code, CAST(node AS INTEGER), NULL, NULL, round(-{rate} * sum(g) / (count(*) + {penalty}), 6), count(*) FROM ({leaves}) GROUP BY stock_code, node"
+
+
 def _sarima() -> str:
     """The recursion of residuals and of forecasts of the seasonal model with given coefficients."""
     phi, seasonal, theta = (f"CAST({c} AS DOUBLE)" for c in COEFFICIENTS)
@@ -192,6 +208,7 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'appended again', 2 * count(*), CAST(2 * sum(quantity) AS BIGINT) FROM t UNION ALL SELECT 'replaced', count(*), CAST(sum(quantity) AS BIGINT) FROM t WHERE quantity > 25""",
     "k_means_fixed_start": f"WITH {SCALED}, {_lloyd(STEPS)}",
     "k_means_segments": _k_means(),
+    "boosted_first_tree": _first_tree(),
     "sarima_fixed": _sarima(),
     "yearly_normal_equations": _normal_equations(),
 }

@@ -30,7 +30,7 @@ def test_models(spark):
     rows = QUERIES["model_comparison"](spark, TESTDATA).collect()
     assert sorted(r.run_name for r in rows) == ["Boosted_Trees", "SARIMA_Baseline", "Yearly_Trend"]
     assert all(0 <= r.mape < 100 and r.rmse >= 0 for r in rows)
-    assert len(QUERIES["gbt_forecast"](spark, TESTDATA).collect()) == 6
+    assert len(QUERIES["gbt_forecast"](spark, TESTDATA).collect()) == tests
     runs = QUERIES["saved_model_runs"](spark, TESTDATA).collect()
     assert {r.kind for r in runs} == {"param", "metric", "artifact"}
 
