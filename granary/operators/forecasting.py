@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.numeric import round_scaled
-from granary.operators import boosting
+from granary.operators import boosting, statespace
 from granary.operators.demand import latest
 
 GROWTH = 0.02
@@ -155,12 +155,28 @@ def _by_product(parts: DataFrame, predict) -> DataFrame:
 
 
 def sarima_forecast(parts: DataFrame) -> DataFrame:
-    """Predictions on each product's test part by a seasonal ARIMA of its train part."""
-    return _by_product(parts, lambda train, test: sarima(train.weekly_sales.to_numpy(), len(test)))
+    """Predictions on each product's test part by a seasonal ARIMA of its train part, fitted by maximum likelihood."""
+    return _by_product(parts, lambda train, test: statespace.forecast(train.weekly_sales.to_numpy(), len(test)))
+
+
+def sarima_likelihood(parts: DataFrame, coefficients: tuple[float, float, float] | None = None) -> DataFrame:
+    """(stock_code, phi, seasonal, theta, variance, log_likelihood) of the differenced train part of each
+    product that can be differenced, at given coefficients or at those of the greatest likelihood."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        w = statespace.differenced(rows.sort_values("week").weekly_sales.to_numpy())
+        if not len(w):
+            return pd.DataFrame(columns=["stock_code", "phi", "seasonal", "theta", "variance", "log_likelihood"])
+        found = coefficients or statespace.fit(w)
+        value, variance, *_ = statespace.filtered(w, *found)
+        return pd.DataFrame([(rows.stock_code.iloc[0], *found, variance[0], value[0])], columns=["stock_code", "phi", "seasonal", "theta", "variance", "log_likelihood"])
+
+    train = parts.where("part = 'train'").select("stock_code", "week", "weekly_sales")
+    return train.groupBy("stock_code").applyInPandas(run, "stock_code string, phi double, seasonal double, theta double, variance double, log_likelihood double")
 
 
 def sarima_path(parts: DataFrame, coefficients: tuple[float, float, float]) -> DataFrame:
-    """As :func:`sarima_forecast`, with given coefficients (phi, seasonal, theta)."""
+    """Forecasts by the conditional recursion, with given coefficients (phi, seasonal, theta)."""
     return _by_product(parts, lambda train, test: sarima(train.weekly_sales.to_numpy(), len(test), coefficients))
 
 

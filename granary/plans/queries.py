@@ -244,6 +244,11 @@ def sarima_fixed(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("prediction", F.round("prediction", 6))
 
 
+def sarima_likelihood(spark: SparkSession, folder: str) -> DataFrame:
+    rows = forecasting.sarima_likelihood(forecasting.split(_features(spark, folder)), COEFFICIENTS)
+    return rows.select("stock_code", F.round("variance", 4).alias("variance"), F.round("log_likelihood", 5).alias("log_likelihood"))
+
+
 def yearly_normal_equations(spark: SparkSession, folder: str) -> DataFrame:
     rows = forecasting.normal_equations(forecasting.yearly_terms(forecasting.split(_features(spark, folder))))
     return rows.select("stock_code", "i", "j", F.round("value", 5).alias("value"))
@@ -299,6 +304,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stored_tables": stored_tables,
     "k_means_fixed_start": k_means_fixed_start,
     "sarima_fixed": sarima_fixed,
+    "sarima_likelihood": sarima_likelihood,
     "yearly_normal_equations": yearly_normal_equations,
     "saved_model_runs": saved_model_runs,
 }

@@ -156,6 +156,29 @@ def _sarima() -> str:
 SELECT t.stock_code, t.week, t.weekly_sales, round(s.y[len(s.y)], 6) AS prediction FROM test t JOIN steps s ON t.stock_code = s.stock_code AND t.step = s.step"""
 
 
+def _likelihood() -> str:
+    """The Kalman filter of the seasonal model with given coefficients, a value a step; the first covariance by repetition."""
+    phi, seasonal, theta = COEFFICIENTS
+    c, r = (f"[{', '.join(f'{float(x)!r}::DOUBLE' for x in xs)}]" for xs in ((phi, 0, 0, seasonal, -phi * seasonal), (1, theta, 0, 0, 0)))
+    at = lambda m, i, j: f"CASE WHEN {i} > 4 OR {j} > 4 THEN 0 ELSE {m}[5 * ({i}) + {j} + 1] END"
+    i, j = "(k // 5)", "(k % 5)"
+    moved = f"list_transform(range(25), lambda k: {c}[{i} + 1] * {c}[{j} + 1] * m[1] + {c}[{i} + 1] * ({at('m', 0, f'{j} + 1')}) + {c}[{j} + 1] * ({at('m', f'{i} + 1', 0)}) + {at('m', f'{i} + 1', f'{j} + 1')} + {r}[{i} + 1] * {r}[{j} + 1])"
+    return f"""WITH RECURSIVE {PARTS}, d AS (
+  SELECT stock_code, week, weekly_sales - lag(weekly_sales) OVER w AS d FROM parts WHERE part = 'train' WINDOW w AS (PARTITION BY stock_code ORDER BY week)
+), w AS (
+  SELECT stock_code, list(w ORDER BY week) FILTER (WHERE w IS NOT NULL) AS w FROM (SELECT *, CAST(d - lag(d, 4) OVER (PARTITION BY stock_code ORDER BY week) AS DOUBLE) AS w FROM d) GROUP BY 1 HAVING count(w) > 0
+), begun AS (
+  SELECT 0 AS n, list_transform(range(25), lambda k: 0.0::DOUBLE) AS m UNION ALL SELECT n + 1, {moved} FROM begun WHERE n < 150
+), steps AS (
+  SELECT stock_code, w, 0 AS t, list_transform(range(5), lambda k: 0.0::DOUBLE) AS a, (SELECT arg_max(m, n) FROM begun) AS p, 0.0::DOUBLE AS squares, 0.0::DOUBLE AS logs FROM w
+  UNION ALL
+  SELECT stock_code, w, t + 1, list_transform(range(5), lambda i: {c}[i + 1] * b[1] + CASE WHEN i < 4 THEN b[i + 2] ELSE 0 END), {moved}, squares + v * v / p[1], logs + ln(p[1])
+  FROM (SELECT *, w[t + 1] - a[1] AS v, list_transform(range(5), lambda i: a[i + 1] + p[5 * i + 1] * (w[t + 1] - a[1]) / p[1]) AS b,
+        list_transform(range(25), lambda k: p[k + 1] - p[5 * {i} + 1] * p[{j} + 1] / p[1]) AS m FROM steps WHERE t < len(w))
+)
+SELECT stock_code, round(squares / t, 4) AS variance, round(-0.5 * (t * (ln(2 * pi()) + 1 + ln(greatest(squares / t, 1e-9))) + logs), 5) AS log_likelihood FROM steps WHERE t = len(w)"""
+
+
 def _normal_equations(order: int = 3) -> str:
     waves = ", ".join(f"{f}(2 * pi() * {k} * t)" for k in range(1, order + 1) for f in ("sin", "cos"))
     return f"""WITH {PARTS}, s AS (
@@ -210,5 +233,6 @@ ORACLES: dict[str, str] = {
     "k_means_segments": _k_means(),
     "boosted_first_tree": _first_tree(),
     "sarima_fixed": _sarima(),
+    "sarima_likelihood": _likelihood(),
     "yearly_normal_equations": _normal_equations(),
 }
