@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.numeric import round_scaled
-from granary.operators import boosting, statespace
+from granary.operators import boosting, statespace, trend
 from granary.operators.demand import latest
 
 GROWTH = 0.02
@@ -195,7 +195,7 @@ def lag_forecast(parts: DataFrame) -> DataFrame:
     return parts.where("part = 'test'").select("stock_code", "week", "weekly_sales", F.col("lag_1_week").alias("prediction"))
 
 
-MODELS = {"SARIMA_Baseline": sarima_forecast, "Yearly_Trend": yearly_forecast, "Boosted_Trees": boosted_trees}
+MODELS = {"SARIMA_Baseline": sarima_forecast, "Yearly_Trend": trend.trend_forecast, "Boosted_Trees": boosted_trees}
 
 
 def compared(parts: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from granary import serving
 from granary.functions.calendar import week_ending
-from granary.operators import boosting, customers, demand, forecasting, revenue
+from granary.operators import boosting, customers, demand, forecasting, revenue, trend
 from granary.operators.cleaning import clean, net_of_cancellations, with_amount
 from granary.plans.sql import CENTERS, COEFFICIENTS, STEPS
 from granary.schemas import TRANSACTIONS
@@ -168,6 +168,16 @@ def yearly_forecast(spark: SparkSession, folder: str) -> DataFrame:
     return forecasting.yearly_forecast(forecasting.split(_features(spark, folder)))
 
 
+def trend_forecast(spark: SparkSession, folder: str) -> DataFrame:
+    return trend.trend_forecast(forecasting.split(_features(spark, folder)))
+
+
+def trend_design(spark: SparkSession, folder: str) -> DataFrame:
+    """The terms of trend, slope changes and waves of every product's weeks."""
+    rows = trend.trend_terms(forecasting.split(_features(spark, folder)))
+    return rows.select("stock_code", "week", "n_changes", F.posexplode("terms").alias("i", "value")).withColumn("value", F.round("value", 6) + F.lit(0.0))
+
+
 def model_comparison(spark: SparkSession, folder: str) -> DataFrame:
     return forecasting.compared(_top_parts(spark, folder))
 
@@ -294,6 +304,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "boosted_first_tree": boosted_first_tree,
     "sarima_forecast": sarima_forecast,
     "yearly_forecast": yearly_forecast,
+    "trend_forecast": trend_forecast,
+    "trend_design": trend_design,
     "model_comparison": model_comparison,
     "row_counts": row_counts,
     "projected_transactions": projected_transactions,

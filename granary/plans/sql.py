@@ -179,6 +179,19 @@ def _likelihood() -> str:
 SELECT stock_code, round(squares / t, 4) AS variance, round(-0.5 * (t * (ln(2 * pi()) + 1 + ln(greatest(squares / t, 1e-9))) + logs), 5) AS log_likelihood FROM steps WHERE t = len(w)"""
 
 
+def _trend_design(changes: int = 25, share: float = 0.8, waves: int = 10) -> str:
+    angles = ", ".join(f"{f}(2 * pi() * {k} * d / 365.25::DOUBLE)" for k in range(1, waves + 1) for f in ("sin", "cos"))
+    time = "CASE WHEN {0}[len({0})] > {0}[1] THEN ({1} - {0}[1]) / ({0}[len({0})] - {0}[1]) ELSE 0 END".format
+    return f"""WITH {PARTS}, x AS (
+  SELECT stock_code, week, d, list(d) FILTER (WHERE part = 'train') OVER (PARTITION BY stock_code ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS ds FROM (SELECT *, epoch(week) / 86400.0::DOUBLE AS d FROM parts)
+), y AS (
+  SELECT *, CAST(floor(len(ds) * {share}::DOUBLE) AS BIGINT) AS early, greatest(least({changes}, early - 1), 0) AS m FROM x WHERE len(ds) > 0
+), z AS (
+  SELECT stock_code, week, m, [1.0::DOUBLE, {time("ds", "d")}] || list_transform(range(1, m + 1), lambda j: greatest({time("ds", "d")} - {time("ds", "ds[CAST(floor(j * (early - 1) / CAST(m AS DOUBLE) + 0.5::DOUBLE) AS BIGINT) + 1]")}, 0.0::DOUBLE)) || [{angles}] AS terms FROM y
+)
+SELECT stock_code, week, CAST(m AS INTEGER) AS n_changes, CAST(i - 1 AS INTEGER) AS i, round(terms[i], 6) + 0.0::DOUBLE AS value FROM z, range(1, {changes + 2 * waves + 3}) r(i) WHERE i <= len(terms)"""
+
+
 def _normal_equations(order: int = 3) -> str:
     waves = ", ".join(f"{f}(2 * pi() * {k} * t)" for k in range(1, order + 1) for f in ("sin", "cos"))
     return f"""WITH {PARTS}, s AS (
@@ -232,6 +245,7 @@ ORACLES: dict[str, str] = {
     "k_means_fixed_start": f"WITH {SCALED}, {_lloyd(STEPS)}",
     "k_means_segments": _k_means(),
     "boosted_first_tree": _first_tree(),
+    "trend_design": _trend_design(),
     "sarima_fixed": _sarima(),
     "sarima_likelihood": _likelihood(),
     "yearly_normal_equations": _normal_equations(),
