@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from granary.schemas import RENAMED
@@ -29,6 +29,19 @@ def clean(raw: DataFrame, counts: Observation | None = None) -> DataFrame:
     return df.observe(counts, F.count(F.lit(1)).alias("rows")) if counts else df
 
 
+def is_clean() -> Column:
+    """What :func:`clean` keeps, as one condition on raw sales that is never null, to count by."""
+    customer, invoice = F.col("Customer ID"), F.coalesce(F.col("Invoice").cast("string"), F.lit(""))
+    some = F.coalesce(~F.isnan(customer), F.lit(False))
+    return some & ~invoice.startswith("C") & F.coalesce((F.col("Quantity") > 0) & (F.col("Price") > 0), F.lit(False))
+
+
+def counted(raw: DataFrame) -> DataFrame:
+    """(what, n): numbers of raw and of clean sales, in one pass."""
+    n = raw.agg(F.count("*").alias("raw"), F.count_if(is_clean()).alias("clean"))
+    return n.select(F.explode(F.create_map(F.lit("raw"), "raw", F.lit("clean"), "clean")).alias("what", "n"))
+
+
 def with_amount(transactions: DataFrame, name: str = "total_sales") -> DataFrame:
     return transactions.withColumn(name, F.col("quantity") * F.col("unit_price"))
 

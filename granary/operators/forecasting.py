@@ -180,6 +180,24 @@ def sarima_path(parts: DataFrame, coefficients: tuple[float, float, float]) -> D
     return _by_product(parts, lambda train, test: sarima(train.weekly_sales.to_numpy(), len(test), coefficients))
 
 
+def sarima_by_models(parts: DataFrame, models: DataFrame) -> DataFrame:
+    """Predictions on each product's test part by stored coefficients (stock_code, phi, seasonal, theta),
+    joined by product; products without a model go on with their last value."""
+
+    def run(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("week")
+        train, test = rows[rows.part == "train"], rows[rows.part == "test"]
+        if train.empty or test.empty:
+            return pd.DataFrame(columns=["stock_code", "week", "weekly_sales", "prediction"])
+        found = tuple(map(float, model[["phi", "seasonal", "theta"]].iloc[0])) if len(model) else (0.0, 0.0, 0.0)
+        y = train.weekly_sales.to_numpy(float)
+        ahead = statespace.forecast(y if len(model) else y[-1:], len(test), found)
+        return test[["stock_code", "week", "weekly_sales"]].assign(prediction=ahead)
+
+    own = parts.select("stock_code", "week", "weekly_sales", "part")
+    return own.groupBy("stock_code").cogroup(models.groupBy("stock_code")).applyInPandas(run, PREDICTED)
+
+
 def yearly_forecast(parts: DataFrame) -> DataFrame:
     """Predictions on each product's test part by a linear trend and yearly waves, fitted
     by ridge regression on its train part. Only the solution of the normal equations of a

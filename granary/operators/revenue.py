@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.numeric import exact_sum
@@ -11,13 +11,15 @@ from granary.functions.numeric import exact_sum
 def monthly_revenue(transactions: DataFrame) -> DataFrame:
     """(month_end, revenue) for every month from the first to the last; months without sales have 0.
 
-    The spine of months comes from the aggregated months, so sales are scanned once.
+    Sales are read once: the gaps are filled from each aggregated month up to the next
+    one, and months are few, so they pass through one window.
     """
     amount = F.col("quantity") * F.col("unit_price")
-    by_month = transactions.where(F.col("invoice_date").isNotNull()).groupBy(F.last_day("invoice_date").alias("month_end")).agg(exact_sum(amount).alias("revenue"))
-    spine = by_month.agg(F.min("month_end").alias("a"), F.max("month_end").alias("b")).where("a is not null")
-    months = spine.select(F.explode(F.sequence(F.trunc("a", "month"), F.trunc("b", "month"), F.expr("interval 1 month"))).alias("m")).select(F.last_day("m").alias("month_end"))
-    return months.join(by_month, "month_end", "left").select("month_end", F.coalesce("revenue", F.lit(0.0)).alias("revenue"))
+    by_month = transactions.where(F.col("invoice_date").isNotNull()).groupBy(F.last_day("invoice_date").alias("own")).agg(exact_sum(amount).alias("revenue"))
+    followed = by_month.withColumn("following", F.lead("own").over(Window.orderBy("own")))
+    upto = F.coalesce(F.add_months(F.trunc("following", "month"), -1), F.trunc("own", "month"))
+    months = followed.select("own", "revenue", F.explode(F.sequence(F.trunc("own", "month"), upto, F.expr("interval 1 month"))).alias("m"))
+    return months.select(F.last_day("m").alias("month_end"), F.when(F.last_day("m") == F.col("own"), F.col("revenue")).otherwise(0.0).alias("revenue"))
 
 
 def top_products(transactions: DataFrame, n: int = 10) -> DataFrame:

@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from granary import serving
 from granary.functions.calendar import week_ending
 from granary.operators import boosting, customers, demand, forecasting, revenue, trend
-from granary.operators.cleaning import clean, net_of_cancellations, with_amount
+from granary.operators.cleaning import clean, counted, net_of_cancellations, with_amount
+from granary.operators.numbering import numbered
 from granary.plans.sql import CENTERS, COEFFICIENTS, STEPS
 from granary.schemas import TRANSACTIONS
-from granary.session import shared_dir
-from granary.sources import sinks
-from granary.sources.sales import sales_rows, star_sales, stored, stored_in_order
+from granary.sources import registry, sinks
+from granary.sources.sales import star_sales, stored
+from granary.tables import written
 
 DEMAND = ("Invoice", "StockCode", "Quantity", "InvoiceDate", "Price", "Customer ID")
 SPEND = ("Invoice", "Quantity", "InvoiceDate", "Price", "Customer ID")
@@ -183,9 +184,7 @@ def model_comparison(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def row_counts(spark: SparkSession, folder: str) -> DataFrame:
-    raw = star_sales(spark, folder, ("Invoice", "Quantity", "Price", "Customer ID"))
-    sizes = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n") for name, df in (("raw", raw), ("clean", clean(raw)))]
-    return sizes[0].union(sizes[1])
+    return counted(star_sales(spark, folder, ("Invoice", "Quantity", "Price", "Customer ID")))
 
 
 def projected_transactions(spark: SparkSession, folder: str) -> DataFrame:
@@ -193,8 +192,10 @@ def projected_transactions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def inline_rows(spark: SparkSession, folder: str) -> DataFrame:
-    rows = [("1", "a", None, 2, None, 1.5, 7.0, "X"), ("C2", "b", "d", -1, None, 0.5, None, None)]
-    return sales_rows(spark, rows).select("Invoice", "StockCode", "Description", "Quantity", "Price", F.col("Customer ID").alias("Customer_ID"), "Country")
+    """Rows given in the program, the labels with their actions, joined to the segments that customers are in."""
+    given = spark.createDataFrame([(i, label, customers.ACTIONS[label]) for i, label in enumerate(customers.LABELS)], "step int, segment_label string, strategic_next_action string")
+    found = _segments(spark, folder).groupBy("segment_label").agg(F.count("*").alias("n"))
+    return given.join(found, "segment_label", "left").select("step", "segment_label", "strategic_next_action", F.coalesce("n", F.lit(0).cast("long")).alias("customers"))
 
 
 def known_products(spark: SparkSession, folder: str) -> DataFrame:
@@ -204,15 +205,43 @@ def known_products(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ordered_features(spark: SparkSession, folder: str) -> DataFrame:
-    """Stored features read in the order of weeks, with each row's position in it: of one
-    product, whose weeks are few, so that positions need no window over all rows."""
+    """All stored features in the order of weeks (and products), with each row's position in it."""
     name = f"ordered_{uuid.uuid4().hex}"
-    rows = _features(spark, folder)
-    top = demand.top_sku(rows).select(F.col("stock_code").alias("top"))
-    sinks.replace_table(rows.join(F.broadcast(top), F.col("stock_code") == F.col("top")).drop("top"), name)
-    read = stored_in_order(spark, name, "week").collect()
+    sinks.replace_table(_features(spark, folder), name)
+    rows = numbered(stored(spark, name), ["week", "stock_code"])
     spark.sql(f"DROP TABLE {name}")
-    return spark.createDataFrame([(i, r.week, r.stock_code, r.weekly_sales) for i, r in enumerate(read)], "position int, week timestamp_ntz, stock_code string, weekly_sales bigint")
+    return rows.select("position", "week", "stock_code", "weekly_sales")
+
+
+def keyed_transactions(spark: SparkSession, folder: str) -> DataFrame:
+    """Transactions with a key of their own, 1, 2, 3... in the order of invoices and lines."""
+    columns = ["invoice_no", "stock_code", "quantity", "unit_price", "customer_id", "invoice_date"]
+    return numbered(transactions(spark, folder).select(*columns), columns, "id")
+
+
+def stored_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers for one customer and one product from tables stored by key, of which only the key's bucket is read."""
+    names = [f"{kind}_{uuid.uuid4().hex}" for kind in ("segments", "features")]
+    sinks.store_by_key(_segments(spark, folder), names[0], "customer_id")
+    sinks.store_by_key(_features(spark, folder), names[1], "stock_code")
+    top = demand.top_sku(stored(spark, names[1])).first().stock_code
+    who, ahead = serving.segment(stored(spark, names[0]), 7.0), serving.forecast(stored(spark, names[1]), top, 4)
+    for name in names:
+        spark.sql(f"DROP TABLE {name}")
+    rows = [("segment", "7", 0, who["segmentation"]["assigned_bucket"], who["metrics"]["total_monetary_spend"])]
+    rows += [("forecast", top, p["week_horizon"], None, p["predicted_quantity"]) for p in ahead["predictions"]]
+    return spark.createDataFrame(rows, "answer string, key string, step int, label string, value double")
+
+
+def repeated_append(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows and quantity of a stored table after the same batch came twice, and then with new sales."""
+    name, rows, found = f"ledger_{uuid.uuid4().hex}", clean(star_sales(spark, folder)), []
+    for step, batch in (("first", rows.where("quantity <= 25")), ("again", rows.where("quantity <= 25")), ("more", rows.where("quantity > 25"))):
+        added = sinks.append_once(batch, name)
+        r = sinks.appended(spark, name).agg(F.count("*").alias("n"), F.sum("quantity").alias("total_quantity")).first()
+        found.append((step, added, r.n, r.total_quantity))
+    sinks.drop_appended(spark, name)
+    return spark.createDataFrame(found, "step string, added boolean, n bigint, total_quantity bigint")
 
 
 def features_preview(spark: SparkSession, folder: str) -> DataFrame:
@@ -245,7 +274,7 @@ def stored_tables(spark: SparkSession, folder: str) -> DataFrame:
 
 def k_means_fixed_start(spark: SparkSession, folder: str) -> DataFrame:
     """Clusters after so many steps from given centers: their size and cost."""
-    centers, points = customers.lloyd(customers.scaled(_rfm(spark, folder)), CENTERS, STEPS)
+    centers, points = customers.lloyd(written(customers.scaled(_rfm(spark, folder)), "scaled"), CENTERS, STEPS)
     return customers.cost(points, centers).select("cluster", "customer_count", F.round("cost", 4).alias("cost"))
 
 
@@ -265,13 +294,22 @@ def yearly_normal_equations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def saved_model_runs(spark: SparkSession, folder: str) -> DataFrame:
-    """The run of the boosted trees, with its saved model, and the metrics of that model read back."""
-    from pyspark.ml.regression import GBTRegressionModel
-
-    parts = _top_parts(spark, folder)
-    path = sinks.save_model(forecasting.fit_boosted_trees(parts), f"{shared_dir(spark)}/models/boosted-trees-{uuid.uuid4().hex}")
-    m = forecasting.metrics(forecasting.tree_predictions(GBTRegressionModel.load(path), parts)).first()
-    return sinks.run_rows(spark, "Boosted_Trees", {"trees": 100, "depth": 4, "rate": 0.05}, {"MAPE": m.mape, "RMSE": m.rmse}, {"model": path})
+    """Runs of the seasonal model and of the boosted trees of all products: their models stored
+    as rows, and their metrics from those rows read back, the latest run of each kind."""
+    parts = written(forecasting.split(_features(spark, folder)), "parts")
+    test, runs, nodes, coefficients = parts.where("part = 'test'"), *(f"{kind}_{uuid.uuid4().hex}" for kind in ("runs", "nodes", "coefficients"))
+    for trees in (20, 100):
+        how = boosting.Boosting(trees=trees)
+        run = registry.save(boosting.fit_products(parts, how), nodes)
+        m = forecasting.metrics(boosting.predict_products(registry.model(spark, nodes, run), test)).first()
+        registry.log(spark, runs, run, "Boosted_Trees", {"trees": trees, "depth": how.depth, "rate": how.rate}, {"MAPE": m.mape, "RMSE": m.rmse}, {"nodes": nodes})
+    run = registry.save(forecasting.sarima_likelihood(parts), coefficients)
+    m = forecasting.metrics(forecasting.sarima_by_models(parts, registry.model(spark, coefficients, run))).first()
+    registry.log(spark, runs, run, "SARIMA_Baseline", {"order": "(1, 1, 1)(1, 1, 0, 4)"}, {"MAPE": m.mape, "RMSE": m.rmse}, {"coefficients": coefficients})
+    latest = written(registry.latest(spark, runs), "latest-runs")
+    for name in (runs, nodes, coefficients):
+        spark.sql(f"DROP TABLE {name}")
+    return latest.select("run_name", "kind", "key", "value")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -319,4 +357,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sarima_likelihood": sarima_likelihood,
     "yearly_normal_equations": yearly_normal_equations,
     "saved_model_runs": saved_model_runs,
+    "keyed_transactions": keyed_transactions,
+    "stored_answers": stored_answers,
+    "repeated_append": repeated_append,
 }

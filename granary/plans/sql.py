@@ -235,10 +235,16 @@ ORACLES: dict[str, str] = {
         round(sqrt(avg(pow(weekly_sales - lag_1_week, 2.0))), 6) AS rmse FROM parts WHERE part = 'test' GROUP BY 1""",
     "row_counts": f"WITH {RAW} SELECT 'raw' AS what, count(*) AS n FROM raw UNION ALL SELECT 'clean', count(*) FROM t",
     "projected_transactions": f"WITH {RAW} SELECT customer_id, invoice_no, invoice_date, quantity, unit_price FROM t",
-    "inline_rows": """SELECT * FROM (VALUES ('1', 'a', NULL, 2, 1.5::DOUBLE, 7.0::DOUBLE, 'X'), ('C2', 'b', 'd', -1, 0.5::DOUBLE, NULL, NULL)) AS v("Invoice", "StockCode", "Description", "Quantity", "Price", "Customer_ID", "Country")""",
+    "inline_rows": f"""WITH {SCALED}, given AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{x}', '{ACTIONS[x]}')" for i, x in enumerate(LABELS))}) AS v(step, segment_label, strategic_next_action))
+        SELECT step, segment_label, strategic_next_action, count(customer_id) AS customers FROM given LEFT JOIN s USING (segment_label) GROUP BY 1, 2, 3""",
     "known_products": f"WITH {FEATURES} SELECT CAST(p_partkey AS VARCHAR) AS stock_code, CAST(p_partkey AS VARCHAR) IN (SELECT stock_code FROM f) AS found FROM part",
-    "ordered_features": f"""WITH {FEATURES}, best_one AS (SELECT stock_code FROM f GROUP BY 1 ORDER BY sum(weekly_sales) DESC, 1 LIMIT 1)
-        SELECT CAST(row_number() OVER (ORDER BY week) - 1 AS INTEGER) AS position, week, stock_code, weekly_sales FROM f WHERE stock_code IN (SELECT stock_code FROM best_one)""",
+    "ordered_features": f"WITH {FEATURES} SELECT row_number() OVER (ORDER BY week, stock_code) AS position, week, stock_code, weekly_sales FROM f",
+    "keyed_transactions": f"WITH {RAW} SELECT row_number() OVER (ORDER BY invoice_no, stock_code, quantity, unit_price, customer_id, invoice_date) AS id, invoice_no, stock_code, quantity, unit_price, customer_id, invoice_date FROM t",
+    "stored_answers": f"""{f"WITH {SCALED}"}, {FEATURES.removeprefix(RAW + ", ")}, ahead AS ({AHEAD.format(5)})
+        SELECT 'segment' AS answer, '7' AS key, CAST(0 AS INTEGER) AS step, segment_label AS label, CAST(format('{{:.2f}}', monetary) AS DOUBLE) AS value FROM s WHERE customer_id = 7.0
+        UNION ALL SELECT 'forecast', stock_code, week_horizon, NULL, predicted_quantity FROM ahead WHERE stock_code = (SELECT stock_code FROM f GROUP BY 1 ORDER BY sum(weekly_sales) DESC, 1 LIMIT 1)""",
+    "repeated_append": f"""WITH {RAW} SELECT 'first' AS step, true AS added, count(*) AS n, CAST(sum(quantity) AS BIGINT) AS total_quantity FROM t WHERE quantity <= 25
+        UNION ALL SELECT 'again', false, count(*), CAST(sum(quantity) AS BIGINT) FROM t WHERE quantity <= 25 UNION ALL SELECT 'more', true, count(*), CAST(sum(quantity) AS BIGINT) FROM t""",
     "features_preview": f"WITH {FEATURES} SELECT * FROM f ORDER BY stock_code, week LIMIT 5",
     "stored_tables": f"""WITH {RAW} SELECT 'created' AS step, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS total_quantity UNION ALL SELECT 'appended', count(*), CAST(sum(quantity) AS BIGINT) FROM t
         UNION ALL SELECT 'appended again', 2 * count(*), CAST(2 * sum(quantity) AS BIGINT) FROM t UNION ALL SELECT 'replaced', count(*), CAST(sum(quantity) AS BIGINT) FROM t WHERE quantity > 25""",
