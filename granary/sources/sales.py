@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.schemas import RAW_SALES
+from granary.sources.workbook import sheets
 
 
 def sales_csv(spark: SparkSession, path: str, **options: str) -> DataFrame:
@@ -18,13 +19,8 @@ def sales_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sales_workbook(spark: SparkSession, path: str, sheet: str = "Year 2010-2011") -> DataFrame:
-    """One sheet of a workbook. A workbook is a single file of at most 1,048,576 rows a
-    sheet, so it is read on the driver; it needs an installed reader for the format."""
-    import pandas as pd
-
-    sheet = pd.read_excel(path, sheet_name=sheet, dtype={"Invoice": str, "StockCode": str, "Description": str, "Country": str})
-    plain = lambda v: None if pd.isna(v) else v.to_pydatetime() if isinstance(v, pd.Timestamp) else v
-    return spark.createDataFrame([tuple(map(plain, row)) for row in sheet[RAW_SALES.names].astype(object).itertuples(index=False)], RAW_SALES)
+    """One sheet of a workbook, or of every workbook that ``path`` matches."""
+    return sheets(spark, path, sheet, RAW_SALES)
 
 
 def sales_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:

@@ -217,17 +217,6 @@ def test_known_products(spark):
     assert {r.stock_code: r.found for r in serving.known(weeks(spark, {"a": [1]}), codes).collect()} == {"a": True, "zz": False, None: False}
 
 
-def test_workbook(spark, monkeypatch):
-    """The sheet as a reader hands it over; no reader of the format is installed here."""
-    import pandas as pd
-
-    sheet = pd.DataFrame([("536365", "85123A", None, 6, pd.Timestamp("2010-12-01 08:26"), 2.55, 17850.0, "X"), ("C1", "b", "d", -1, pd.NaT, 1.0, None, None)], columns=RAW_SALES.names)
-    monkeypatch.setattr(pd, "read_excel", lambda path, sheet_name, dtype: sheet)
-    rows = sales.sales_workbook(spark, "sales.xlsx").collect()
-    assert tuple(rows[0]) == ("536365", "85123A", None, 6, at("2010-12-01T08:26:00"), 2.55, 17850.0, "X")
-    assert rows[1].InvoiceDate is None and rows[1]["Customer ID"] is None
-
-
 def test_saved_model_predicts_as_before(spark, tmp_path):
     from pyspark.ml.regression import GBTRegressionModel
 
