@@ -11,6 +11,7 @@ first keeps its parts from matching a shorter one.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,8 +20,20 @@ from pyspark.sql import functions as F
 _UNDER = r"^(this (work|program|library|software|project|file) is )?(licensed|released|distributed) under (the )?(terms of the )?"
 _AGAIN = r"^this (program|library|software) is free software you can redistribute it and or modify it under the terms of the "
 
+#: Licences that files name by their identifier.
+TAGGED = (
+    "MIT", "MIT-0", "Apache-2.0", "Apache-1.1", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "0BSD", "ISC",
+    "MPL-1.1", "MPL-2.0", "EPL-1.0", "EPL-2.0", "BSL-1.0", "Zlib", "Unlicense", "WTFPL", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "Artistic-1.0", "Artistic-2.0", "GFDL-1.2", "GFDL-1.3", "PSF-2.0", "OFL-1.1",
+)
+
+
+def normal(text: str) -> str:
+    return re.sub("[^a-z0-9]+", " ", text.lower()).strip()
+
+
 #: Identifier and normalised beginning of known licence sentences, first match wins.
 SENTENCES = (
+    *((f"spdx{re.sub('[^A-Za-z0-9]', '', name)}", f"^spdx license identifier {normal(name)}( |$)") for name in sorted(TAGGED, key=len, reverse=True)),
     ("spdx", r"^spdx license identifier .+"),
     ("boostGrant", r"^permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
     ("mitGrant", r"^permission is hereby granted free of charge to any person obtaining a copy of this software"),
@@ -35,7 +48,7 @@ SENTENCES = (
     ("bsdBinary", r"^(2 )?redistributions in binary form must reproduce the above copyright notice"),
     ("bsdAdvertising", r"^(3 )?all advertising materials mentioning features or use of this software must display"),
     ("bsdNames", r"^([34] )?neither the names? of .+ may be used to endorse or promote products"),
-    ("bsdWarranty", r"^this software is provided by the (copyright holders?|authors?|regents)"),
+    ("bsdWarranty", r"^this software is provided by .+"),
     ("agpl3Free", _AGAIN + r"gnu affero general public license .+ version 3"),
     ("lgpl3Free", _AGAIN + r"gnu lesser general public license .+ version 3"),
     ("lgpl21Free", _AGAIN + r"gnu lesser general public license .+ version 2 1"),
@@ -68,6 +81,15 @@ SENTENCES = (
     ("ccByRef", _UNDER + r"(a )?(cc by( |$)|creative commons attribution)"),
     ("unlicense", r"^this is free and unencumbered software released into the public domain"),
     ("wtfpl", r"^(0 )?you just do what the fuck you want to"),
+    ("lgpl3Title", r"^gnu lesser general public license version 3 29 june 2007"),
+    ("lgpl2Title", r"^gnu library general public license version 2 june 1991"),
+    ("gpl1Title", r"^gnu general public license version 1 february 1989"),
+    ("gfdl12Title", r"^gnu free documentation license version 1 2 november 2002"),
+    ("gfdl13Title", r"^gnu free documentation license version 1 3 3 november 2008"),
+    ("mpl11Title", r"^mozilla public license version 1 1"),
+    ("artisticTitle", r"^the artistic license$"),
+    ("artistic2Title", r"^(the )?artistic license 2 0"),
+    ("cc0Title", r"^(creative commons legal code )?cc0 1 0 universal"),
     ("copyright", r"^copyright (c )?[0-9]{4}"),
     ("reserved", r"^all rights reserved"),
 )
@@ -114,6 +136,16 @@ RULES = (
     ("CC-BY", ("ccByRef",)),
     ("Unlicense", ("unlicense",)),
     ("WTFPL", ("wtfpl",)),
+    *((name, (f"spdx{re.sub('[^A-Za-z0-9]', '', name)}",)) for name in TAGGED),
+    ("LGPL-3.0", ("lgpl3Title",)),
+    ("LGPL-2.0", ("lgpl2Title",)),
+    ("GPL-1.0", ("gpl1Title",)),
+    ("GFDL-1.2", ("gfdl12Title",)),
+    ("GFDL-1.3", ("gfdl13Title",)),
+    ("MPL-1.1", ("mpl11Title",)),
+    ("Artistic-1.0", ("artisticTitle",)),
+    ("Artistic-2.0", ("artistic2Title",)),
+    ("CC0-1.0", ("cc0Title",)),
     ("SPDX", ("spdx",)),
     ("Proprietary", ("copyright", "reserved")),
 )

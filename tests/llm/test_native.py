@@ -246,7 +246,7 @@ def test_wrapped_licences(spark):
     three = two.replace("bsdWarranty", "bsdNames,bsdWarranty")
     assert got == {
         1: (mit, "MIT"), 2: (three, "BSD-3-Clause"), 3: (two, "BSD-2-Clause"), 4: ("gpl3Free", "GPL-3.0"), 5: ("gpl3Free", "GPL-3.0"), 6: (mit, "MIT"), 7: (three, "BSD-3-Clause"), 8: (two, "BSD-2-Clause"), 9: ("gpl3Free", "GPL-3.0"), 10: (three, "BSD-3-Clause"),
-        11: ("spdx,apache2Ref,apacheObtain", "Apache-2.0,SPDX"), 12: ("", ""), 13: ("gpl3Free", "GPL-3.0"),
+        11: ("spdxMIT,apache2Ref,apacheObtain", "Apache-2.0,MIT"), 12: ("", ""), 13: ("gpl3Free", "GPL-3.0"),
     }
     long = "this work\n" * 20000 + "\n" * 100_000 + "-" * 100_000 + "\nReleased under\nthe MIT License"
     assert licences.scan(spark.createDataFrame([(1, long)], "doc_id long, text string")).first().licences == "MIT"
@@ -284,3 +284,20 @@ def test_notices_of_many_licences_and_their_sql(spark):
     con.executemany("INSERT INTO documents VALUES (?, ?)", list(texts.items()))
     sql = con.sql(licence_sql()).fetchall()
     assert sorted(sql) == sorted((r.doc_id, r.n_sentences, r.sentence_ids, r.licences, r.unmatched) for r in rows)
+
+
+def test_tags_full_texts_and_holders(spark):
+    """Identifiers that files name, the licence texts of this machine by their names, and a company in a warranty."""
+    from pathlib import Path
+
+    texts = {i: f"/* SPDX-License-Identifier: {name} */\nint x;" for i, name in enumerate(licences.TAGGED)}
+    texts[900] = WRAPPED_BSD.replace("THE COPYRIGHT HOLDERS", "FOO INC.")
+    files = {1000 + i: p for i, p in enumerate(sorted(Path("/usr/share/common-licenses").glob("*"))) if not p.is_symlink()}
+    texts |= {i: p.read_text() for i, p in files.items()}
+    got = {r.doc_id: r.licences.split(",") for r in licences.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert {i: [name] for i, name in enumerate(licences.TAGGED)} == {i: v for i, v in got.items() if i < 900}
+    assert got[900] == ["BSD-3-Clause"]
+    named = {"Artistic": "Artistic-1.0", "BSD": "BSD-3-Clause"}
+    for i, p in files.items():
+        want = named.get(p.name, p.name if "." in p.name else f"{p.name}.0")
+        assert want in got[i], (p.name, got[i])
