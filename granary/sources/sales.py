@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +49,40 @@ def database_table(spark: SparkSession, options: dict[str, str], name: str, key:
     return reader.load()
 
 
+def key_ranges(keys: DataFrame, parts: int, sample: int = 100) -> list:
+    """Up to ``parts`` - 1 bounds between ranges of keys that hold about as many rows each, whatever the keys' type.
+
+    They are quantiles of a random sample of some ``sample`` rows a range, the only rows that reach the driver.
+    """
+    key = keys.columns[0]
+    some = keys.where(F.col(key).isNotNull())
+    n = some.count()
+    drawn = some.sample(min(1.0, parts * sample / max(1, n)), seed=1) if n > parts * sample else some
+    found = [r[0] for r in drawn.sort(key).collect()]
+    return sorted({found[i * len(found) // parts] for i in range(1, parts)}) if found else []
+
+
+def range_conditions(key: str, bounds: list) -> list[str]:
+    """SQL conditions of the ranges between bounds; together they hold each row once, those without a key in the first."""
+    def text(v) -> str:
+        if isinstance(v, datetime):
+            return f"TIMESTAMP('{v.isoformat(sep=' ', timespec='microseconds')}')"
+        return str(v) if isinstance(v, int | float | Decimal) and not isinstance(v, bool) else "'" + str(v).replace("'", "''") + "'"
+
+    marks = list(map(text, bounds))
+    if not marks:
+        return ["1 = 1"]
+    inner = [f"{key} >= {a} AND {key} < {b}" for a, b in zip(marks, marks[1:], strict=False)]
+    return [f"{key} < {marks[0]} OR {key} IS NULL", *inner, f"{key} >= {marks[-1]}"]
+
+
+def database_table_by(spark: SparkSession, options: dict[str, str], name: str, key: str, parts: int) -> DataFrame:
+    """A table by JDBC in ``parts`` parallel ranges of a key of any ordered type (text, times, numbers), alike in size."""
+    keys = spark.read.format("jdbc").options(**options).option("query", f"SELECT {key} FROM {name}").load()
+    rest = {k: v for k, v in options.items() if k != "url"}
+    return spark.read.jdbc(options["url"], name, predicates=range_conditions(key, key_ranges(keys, parts)), properties=rest)
+
+
 def star_sales(spark: SparkSession, folder: str, columns: tuple[str, ...] = tuple(RAW_SALES.names)) -> DataFrame:
     """Raw sales from lineitem, orders, part, customer and nation.
 
