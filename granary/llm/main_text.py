@@ -9,7 +9,8 @@ with C characters, T tags, L and K those in links, N characters outside links, a
 Cb those of the body; zeros count as one, and the last logarithm is at least ``FLAT``.
 The node whose children's densities have the greatest sum holds the article. The least
 density on the path from the body to it is the threshold that other parts of the page
-must reach to belong to it too: of each such part, again the subtree of the greatest sum.
+must reach to belong to it too (an article in two containers); of each such part again the
+subtree of the greatest sum is taken, if that is at least ``PART`` of the first.
 
 What names itself as no part of an article (menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles, comments) is no node: by its tag, its role, or words of
@@ -43,6 +44,8 @@ from pyspark.sql import types as T
 from granary.llm.common import arrow_map
 
 FLAT = 0.05
+#: Share of the greatest sum that another part of the page must reach to belong to the article.
+PART = 0.5
 
 # Element names of HTML by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -254,7 +257,7 @@ def main_nodes(page: Page) -> set[int]:
     above = set(path) | {body}
     for i in range(body, n):
         covered[i] = i in roots or i > body and covered[parent[i]]
-        if i > body and below[i] and not covered[i] and i not in above and path and density[i] >= threshold and sums[best[i]] > 0:
+        if i > body and below[i] and not covered[i] and i not in above and path and density[i] >= threshold and sums[best[i]] >= PART * sums[chosen]:
             roots.add(best[i])
             covered[i] = True
     first = min(roots)

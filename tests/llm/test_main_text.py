@@ -28,6 +28,8 @@ PAGES = {
         f"Head\n{LONG}\nEnd.",
     ),
     "article with its own header": (f"<header>no</header><article><header><h1>Head</h1></header><p>{LONG}</p><footer>no</footer></article>", f"Head\n{LONG}"),
+    "unnamed advert": (f"<body><div><p>Buy this thing now, it is cheap and it is good for all of you.</p></div><div><h1>Head</h1>" + f"<p>{LONG}</p>" * 4 + "</div><div><a href=x>a</a></div></body>", "Head" + f"\n{LONG}" * 4),
+    "two containers": ("<body><div>" + f"<p>{LONG} {LONG}</p>" * 4 + "</div><div>" + f"<p>{LONG} {LONG}</p>" * 4 + "</div><ul>" + "<li><a href=x>link</a>" * 9 + "</ul></body>", "\n".join([f"{LONG} {LONG}"] * 8)),
     "white space": ("<article><p>a&nbsp;&nbsp;b\t\n c</p>  <p> \u2003 </p><pre>d\n  e</pre></article>", "a b c\nd e"),
     "stray ends": (f"</div></p><div><p>{LONG}</b></i></span></div></div></div>", LONG),
     "nothing": ("<nav><a href=x>y</a></nav><script>z</script>", ""),
