@@ -28,8 +28,8 @@ def store_by_key(df: DataFrame, name: str, key: str, buckets: int = 32) -> None:
 
 def digest(df: DataFrame) -> str:
     """A batch's number of rows and the sum of its rows' hashes: the same in any order and any partitions."""
-    row = F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in df.columns)).cast("decimal(38,0)")
-    other = F.xxhash64(F.lit(1), *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in df.columns)).cast("decimal(38,0)")
+    columns = [*(F.col(f"`{c}`").cast("string") for c in df.columns), *(F.col(f"`{c}`").isNull() for c in df.columns)]
+    row, other = (F.xxhash64(F.lit(seed), *columns).cast("decimal(38,0)") for seed in (0, 1))
     r = df.agg(F.count("*").alias("n"), F.sum(row).alias("a"), F.sum(other).alias("b")).first()
     return f"{r.n}:{r.a or 0}:{r.b or 0}"
 
