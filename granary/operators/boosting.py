@@ -18,6 +18,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from granary.operators.demand import by_product
+
 FEATURES = ("lag_1_week", "lag_2_week", "rolling_4_wk_avg", "month")
 #: Gains are compared to so many places, so that equal splits are equal in any order of the sums.
 PLACES = 6
@@ -132,7 +134,7 @@ def fit_products(parts: DataFrame, how: Boosting = Boosting()) -> DataFrame:
         out = pd.DataFrame(fit(rows[list(FEATURES)].to_numpy(float), rows.weekly_sales.to_numpy(float), how), columns=["tree", "node", "feature", "cut", "value", "n"])
         return out.assign(stock_code=rows.stock_code.iloc[0], feature=out.feature.astype("Int32"))[["stock_code", "tree", "node", "feature", "cut", "value", "n"]]
 
-    return parts.where("part = 'train'").select("stock_code", "week", "weekly_sales", *FEATURES).groupBy("stock_code").applyInPandas(run, NODES)
+    return by_product(parts.where("part = 'train'").select("stock_code", "week", "weekly_sales", *FEATURES)).groupBy("stock_code").applyInPandas(run, NODES)
 
 
 def predict_products(models: DataFrame, rows: DataFrame) -> DataFrame:

@@ -61,3 +61,9 @@ def top_sku(features_: DataFrame) -> DataFrame:
     """The product with the greatest sum of weekly sales; the smaller code wins a tie."""
     sums = features_.groupBy("stock_code").agg(F.sum("weekly_sales").alias("total_sales"))
     return sums.orderBy(F.desc("total_sales"), "stock_code").limit(1)
+
+
+def by_product(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt by product to as many tasks as the session has for a shuffle. A fit is dear
+    however few its rows are, so these tasks must not be merged for their small size."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "stock_code")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.numeric import round_scaled
 from granary.operators import boosting, statespace, trend
-from granary.operators.demand import latest
+from granary.operators.demand import by_product, latest
 
 GROWTH = 0.02
 FEATURES = ("lag_1_week", "lag_2_week", "rolling_4_wk_avg", "month")
@@ -151,7 +151,7 @@ def _by_product(parts: DataFrame, predict) -> DataFrame:
             return pd.DataFrame(columns=["stock_code", "week", "weekly_sales", "prediction"])
         return test[["stock_code", "week", "weekly_sales"]].assign(prediction=np.asarray(predict(train, test), float))
 
-    return parts.select("stock_code", "week", "weekly_sales", "part").groupBy("stock_code").applyInPandas(run, PREDICTED)
+    return by_product(parts.select("stock_code", "week", "weekly_sales", "part")).groupBy("stock_code").applyInPandas(run, PREDICTED)
 
 
 def sarima_forecast(parts: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def sarima_likelihood(parts: DataFrame, coefficients: tuple[float, float, float]
         return pd.DataFrame([(rows.stock_code.iloc[0], *found, variance[0], value[0])], columns=["stock_code", "phi", "seasonal", "theta", "variance", "log_likelihood"])
 
     train = parts.where("part = 'train'").select("stock_code", "week", "weekly_sales")
-    return train.groupBy("stock_code").applyInPandas(run, "stock_code string, phi double, seasonal double, theta double, variance double, log_likelihood double")
+    return by_product(train).groupBy("stock_code").applyInPandas(run, "stock_code string, phi double, seasonal double, theta double, variance double, log_likelihood double")
 
 
 def sarima_path(parts: DataFrame, coefficients: tuple[float, float, float]) -> DataFrame:

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.operators.demand import by_product
+
 CHANGES, CHANGE_SHARE, WAVES = 25, 0.8, 10
 #: Scales of the priors: slope changes, waves, level and slope.
 CHANGE_SCALE, WAVE_SCALE, TREND_SCALE = 0.05, 10.0, 5.0
@@ -107,4 +109,4 @@ def trend_forecast(parts: DataFrame) -> DataFrame:
         return test[["stock_code", "week", "weekly_sales"]].assign(prediction=ahead)
 
     termed = trend_terms(parts).select("stock_code", "week", "weekly_sales", "part", "terms", "n_changes")
-    return termed.groupBy("stock_code").applyInPandas(run, PREDICTED)
+    return by_product(termed).groupBy("stock_code").applyInPandas(run, PREDICTED)
