@@ -17,7 +17,7 @@ from granary.plans.sql import CENTERS, COEFFICIENTS, STEPS
 from granary.schemas import TRANSACTIONS
 from granary.sources import registry, sinks
 from granary.sources.sales import star_sales, stored
-from granary.tables import written
+from granary.tables import dropped, written
 
 DEMAND = ("Invoice", "StockCode", "Quantity", "InvoiceDate", "Price", "Customer ID")
 SPEND = ("Invoice", "Quantity", "InvoiceDate", "Price", "Customer ID")
@@ -235,12 +235,13 @@ def stored_answers(spark: SparkSession, folder: str) -> DataFrame:
 
 def repeated_append(spark: SparkSession, folder: str) -> DataFrame:
     """Rows and quantity of a stored table after the same batch came twice, and then with new sales."""
-    name, rows, found = f"ledger_{uuid.uuid4().hex}", clean(star_sales(spark, folder)), []
+    name, rows, found = f"ledger_{uuid.uuid4().hex}", written(clean(star_sales(spark, folder)), "sales"), []
     for step, batch in (("first", rows.where("quantity <= 25")), ("again", rows.where("quantity <= 25")), ("more", rows.where("quantity > 25"))):
         added = sinks.append_once(batch, name)
         r = sinks.appended(spark, name).agg(F.count("*").alias("n"), F.sum("quantity").alias("total_quantity")).first()
         found.append((step, added, r.n, r.total_quantity))
     sinks.drop_appended(spark, name)
+    dropped(rows)
     return spark.createDataFrame(found, "step string, added boolean, n bigint, total_quantity bigint")
 
 

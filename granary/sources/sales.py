@@ -87,19 +87,21 @@ def star_sales(spark: SparkSession, folder: str, columns: tuple[str, ...] = tupl
     """Raw sales from lineitem, orders, part, customer and nation.
 
     Every line has its order, part and customer, so a dimension is joined only if
-    one of ``columns`` needs it. Which joins broadcast is left to the optimiser,
-    which knows the sizes.
+    one of ``columns`` needs it. Customers are joined to orders, which are fewer than
+    lines, so only orders are shuffled by customer. Which joins broadcast is left to
+    the optimiser, which knows the sizes.
     """
     read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
     wanted = set(columns)
     df = read("lineitem")
     if wanted & {"InvoiceDate", "Customer ID", "Country"}:
-        df = df.join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        orders = read("orders")
+        if "Country" in wanted:
+            homes = read("customer").join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+            orders = orders.join(homes, F.col("o_custkey") == F.col("c_custkey"))
+        df = df.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     if "Description" in wanted:
         df = df.join(read("part"), F.col("l_partkey") == F.col("p_partkey"))
-    if "Country" in wanted:
-        homes = read("customer").join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        df = df.join(homes, F.col("o_custkey") == F.col("c_custkey"))
     source = {
         "Invoice": lambda: F.concat(F.when(F.col("l_returnflag") == "R", "C").otherwise(""), F.col("l_orderkey").cast("string")),
         "StockCode": lambda: F.col("l_partkey").cast("string"),

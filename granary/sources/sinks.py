@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from granary.schemas import RUNS
+from granary.tables import dropped, written
 
 
 def replace_table(df: DataFrame, name: str) -> None:
@@ -41,7 +42,16 @@ def append_once(df: DataFrame, name: str) -> bool:
     written first and whole, replacing what a broken run left of it, and then entered in the
     ledger, the table ``name``_ledger. :func:`appended` reads batches of the ledger only, so
     half a batch is never seen, and a repeated run finds the batch or writes it again.
+    The batch is computed once: it is written aside, and the digest and the partition come from there.
     """
+    rows = written(df, "batch")
+    try:
+        return _enter(rows, name)
+    finally:
+        dropped(rows)
+
+
+def _enter(df: DataFrame, name: str) -> bool:
     spark, key, ledger = df.sparkSession, digest(df), f"{name}_ledger"
     spark.sql(f"CREATE TABLE IF NOT EXISTS {ledger} (batch string) USING parquet")
     if not spark.table(ledger).where(F.col("batch") == F.lit(key)).isEmpty():

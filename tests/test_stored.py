@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from granary import serving
 from granary.operators import boosting, forecasting, statespace
+from granary.plans import queries
 from granary.sources import registry, sinks
+from granary.sources.sales import star_sales
+from tests.duck import TESTDATA
 
 
 @pytest.fixture
@@ -74,3 +77,58 @@ def test_registry(spark, name):
     finally:
         for t in (models, runs):
             spark.sql(f"DROP TABLE IF EXISTS {t}")
+
+
+@pytest.fixture
+def computed(spark, monkeypatch):
+    """Counts the raw sales that a query computes, however often it computes them."""
+    rows = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for b in batches:
+            rows.add(b.num_rows)
+            yield b
+
+    def sales(*args):
+        df = star_sales(*args)
+        return df.mapInArrow(counting, df.schema)
+
+    monkeypatch.setattr(queries, "star_sales", sales)
+    return rows
+
+
+def lines(spark):
+    return spark.read.parquet(f"{TESTDATA}/lineitem.parquet").count()
+
+
+def test_batches_are_drawn_from_sales_computed_once(spark, computed):
+    queries.repeated_append(spark, TESTDATA).collect()
+    assert computed.value == lines(spark)
+
+
+def test_a_batch_is_computed_once(spark, name):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    batch = spark.range(40).toDF("x").mapInArrow(counting, "x long")
+    assert sinks.append_once(batch, name) and seen.value == 40
+    assert sorted(r.x for r in sinks.appended(spark, name).collect()) == list(range(40))
+
+
+def test_only_orders_are_dealt_by_customer(spark):
+    """Without broadcasts: lines, four times as many, are not shuffled to meet the customers."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = star_sales(spark, TESTDATA)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    at = next(i for i, x in enumerate(plan) if "hashpartitioning(o_custkey" in x)
+    end = next((i for i in range(at + 1, len(plan)) if depth(plan[i]) <= depth(plan[at])), len(plan))
+    below = plan[at:end]
+    assert any("o_orderdate" in x for x in below) and not any("l_orderkey" in x for x in below)
