@@ -253,7 +253,7 @@ def features_preview(spark: SparkSession, folder: str) -> DataFrame:
 def stored_tables(spark: SparkSession, folder: str) -> DataFrame:
     """Rows and quantity of a stored table of transactions after it is created, appended to twice, and replaced."""
     name = f"transactions_{uuid.uuid4().hex}"
-    rows = clean(star_sales(spark, folder))
+    rows = written(clean(star_sales(spark, folder)), "sales")
     found = []
 
     def look(step: str) -> None:
@@ -270,6 +270,7 @@ def stored_tables(spark: SparkSession, folder: str) -> DataFrame:
     sinks.replace_table(rows.where("quantity > 25"), name)
     look("replaced")
     spark.sql(f"DROP TABLE {name}")
+    dropped(rows)
     return spark.createDataFrame(found, "step string, n bigint, total_quantity bigint")
 
 

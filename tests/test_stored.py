@@ -106,6 +106,11 @@ def test_batches_are_drawn_from_sales_computed_once(spark, computed):
     assert computed.value == lines(spark)
 
 
+def test_tables_are_stored_from_sales_computed_once(spark, computed):
+    queries.stored_tables(spark, TESTDATA).collect()
+    assert computed.value == lines(spark)
+
+
 def test_a_batch_is_computed_once(spark, name):
     seen = spark.sparkContext.accumulator(0)
 
