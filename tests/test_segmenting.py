@@ -1,5 +1,8 @@
 """K-Means: draws of first centers, exactness, the best of all starts against plain runs."""
 
+import hashlib
+import math
+
 import numpy as np
 import pytest
 
@@ -56,3 +59,51 @@ def test_edges(spark):
     assert cost == 0 and len({r.cluster for r in out.collect()}) == 2
     with pytest.raises(ValueError):
         segmenting.k_means(points(spark, [(1, 1)]).limit(0), COLUMNS, "id")
+
+
+@pytest.mark.parametrize("open_points", [0, 150, 600, 10_000])
+def test_few_passes_make_many_steps(spark, monkeypatch, open_points):
+    """Steps on the points that may change are full steps, exactly, and passes do not follow their number."""
+    monkeypatch.setattr(segmenting, "OPEN", open_points, raising=False)
+    passes, sums = [], segmenting._sums
+    monkeypatch.setattr(segmenting, "_sums", lambda *args: passes.append(1) or sums(*args))
+    rows = np.random.default_rng(3).uniform(-1, 1, (2000, 2)).round(2)  # many points alike, many at equal distances
+    units = segmenting.in_units(points(spark, rows).repartition(4), COLUMNS, "id").cache()
+    xs = [(int(r.u0), int(r.u1)) for r in units.collect()]
+    starts = [[(0, 0), (10_000, 0), (0, 10_000), (10_000, 10_000)], [(-900_000, -900_000), (-890_000, -900_000), (-900_000, -880_000), (5_000_000, 0)]]
+    centers, costs = segmenting.lloyd(units, ["u0", "u1"], starts, 300)
+    assert list(zip(centers, costs, strict=True)) == [plain(xs, s) for s in starts]
+    steps = next(n for n in range(300) if stepped(xs, starts[1], n) == centers[1])
+    assert steps > 12
+    if open_points >= 600:
+        assert len(passes) <= steps / 2
+    few, _ = segmenting.lloyd(units, ["u0", "u1"], starts, 7)
+    assert few[1] == stepped(xs, starts[1], 7)
+
+
+def stepped(xs, centers, steps):
+    """Centers after so many steps."""
+    xs, centers = np.array(xs), [tuple(map(int, c)) for c in centers]
+    for _ in range(steps):
+        own = np.array([((xs - c) ** 2).sum(1) for c in centers]).argmin(0)
+        centers = [tuple(int((2 * v.sum() + len(v)) // (2 * len(v))) for v in xs[own == i].T) if (own == i).any() else c for i, c in enumerate(centers)]
+    return centers
+
+
+def test_draws_are_those_of_the_formula(spark):
+    """The least waiting time over all partitions, by SHA-256 of seed, start, place and key."""
+    rows = np.random.default_rng(5).normal(0, 1, (300, 2)).round(3)
+    units = segmenting.in_units(points(spark, rows).repartition(7), COLUMNS, "id").cache()
+    table = [(r.key, (r.u0, r.u1)) for r in units.collect()]
+    want = []
+    for s in range(3):
+        drawn = []
+        for nth in range(4):
+            def wait(row):
+                chance = (int(hashlib.sha256(f"42:{s}:{nth}:{row[0]}".encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+                rate = min(sum((a - b) ** 2 for a, b in zip(row[1], c, strict=True)) for c in drawn) if drawn else 1
+                return (-math.log(chance) / rate if rate else math.inf, row[0])
+
+            drawn.append(min(table, key=wait)[1])
+        want.append(drawn)
+    assert segmenting.plus_plus(units, ["u0", "u1"], 4, 3, 42) == want
