@@ -26,7 +26,7 @@ MOST = 100 * UNIT
 #: Scales of ways, powers of two, that points are counted by; lower bits of squared distances, summed apart.
 LEVELS, LOW = 32, 24
 #: Most points of a start that one task takes steps with; a step is short at this part of the way that the others allow.
-OPEN, SHORT = 100_000, 4
+OPEN, SHORT = 250_000, 2
 
 Center = tuple[int, ...]
 
